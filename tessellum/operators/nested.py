@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessellum.session import materialize
+from tessellum.session import materialize, spread
 
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _BLANK = " \t\r\n﻿​ "
@@ -277,6 +277,7 @@ def event_tables(lines: DataFrame, text: str = "line", order: str = "line_no") -
 
     Nulls in any column, blank lines and empty tables give empty results; extra columns of ``lines`` are ignored.
     """
+    lines = spread(lines.select(text, order))
     schema = merged_schema(profile_paths(lines, text, opaque=EVENT_OPAQUE), EVENT_LISTS, EVENT_OPAQUE)
     calls = schema.children["agentic_trace"].children["tool_calls"]
     for name in ("tool_name", "arguments", "result_preview", "success"):

@@ -67,3 +67,13 @@ def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 def join_small(big: DataFrame, side: DataFrame, on, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
     """A join that broadcasts ``side`` only when its size is proven small, else shuffles both."""
     return big.join(F.broadcast(side) if small_enough(side, rows) else side, on, how)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` on at least as many partitions as there are cores, for work that costs far more than one shuffle of its input.
+
+    A table in few files (or few row groups) would else be one task's work; a table that already has enough partitions,
+    as any large one has, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
