@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("q_threads",)
+MODULES = ("q_threads", "q_leaks")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
