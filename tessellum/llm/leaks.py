@@ -142,7 +142,10 @@ def verify(batches: Iterator[pd.DataFrame], rule: Leak) -> Iterator[pd.DataFrame
             r = pdf.iloc[rows[k]]
             s, m = offs[k], int(lengths[k])
             end = int(ends[k])
-            lost = _lost(list(r["words"][s : s + m]), list(r["weights"][s : s + m]), list(r["stretch"][max(0, end - m - rule.budget) : end])) if edits[k] > rule.sure else 0.0
+            pat, seen = list(r["words"][s : s + m]), list(r["stretch"][max(0, end - m - rule.budget) : end])
+            if edits[k] > 1 and (seen[-1] != pat[-1] or pat[0] not in seen[: 2 * rule.budget + 1]):
+                continue  # a shorter passage whose edits are what follows or precedes it
+            lost = _lost(pat, list(r["weights"][s : s + m]), seen) if edits[k] > rule.sure else 0.0
             if lost <= rule.lost:
                 out.append((r["doc_id"], r["item_id"], r["start"] + end - m, int(edits[k]), lost))
         yield pd.DataFrame(out, columns=["doc_id", "item_id", "at", "edits", "lost"])
