@@ -19,8 +19,8 @@ from tessellum.session import join_small, materialize, spread
 
 #: Log-likelihood ratios of an ending for a cut value against a complete one.
 EVIDENCE = {"marker": 8.0, "open": 8.0, "unknown": 5.0, "known": -3.5, "terminal": -4.5, "none": -9.0}
-#: Share of complete and of cut values that end like a finished sentence.
-TERMINAL = (0.95, 0.02)
+#: Share of complete and of cut values that have an ending of complete texts.
+FINISHED = (0.97, 0.05)
 MIN_ATOM = 5
 
 
@@ -53,7 +53,7 @@ def limits(hist: pd.DataFrame) -> pd.DataFrame:
     """Candidate limits of one source and unit: (length, prior) from its histogram (length, n, finished).
 
     The prior is the share of the values of that length that were cut there: what exceeds both the fitted distribution
-    and the complete values that the sentence ends at that length give away.
+    and the complete values that the endings at that length give away.
     """
     h = hist.sort_values("length")
     length, n = h["length"].to_numpy(float), h["n"].to_numpy(float)
@@ -68,7 +68,7 @@ def limits(hist: pd.DataFrame) -> pd.DataFrame:
         if np.allclose(new, censored):
             break
         censored = new
-    complete = np.clip((h["finished"].to_numpy(float) / n - TERMINAL[1]) / (TERMINAL[0] - TERMINAL[1]), 0, 1)
+    complete = np.clip((h["finished"].to_numpy(float) / n - FINISHED[1]) / (FINISHED[0] - FINISHED[1]), 0, 1)
     out = pd.DataFrame({"length": h["length"].to_numpy(), "prior": np.clip(censored * (1 - complete), 0.001, 0.995)})
     return out[atom]
 
@@ -98,7 +98,7 @@ def judge(values: DataFrame) -> DataFrame:
     v = materialize(v.withColumn("chars", F.length("text")).withColumn("bytes", F.octet_length("text")), "cuts")
     usable = v.where(~F.col("failed") & (F.col("chars") > 0))
     both = usable.select("field", "source", "ending", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length")))).alias("x"))
-    hist = both.groupBy("field", "source", "x.unit", "x.length").agg(F.count("*").alias("n"), F.count_if(F.col("ending") == "terminal").alias("finished"))
+    hist = both.groupBy("field", "source", "x.unit", "x.length").agg(F.count("*").alias("n"), F.count_if(F.col("ending").isin("terminal", "known")).alias("finished"))
 
     def fit(key: tuple, h: pd.DataFrame) -> pd.DataFrame:
         out = limits(h)
