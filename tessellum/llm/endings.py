@@ -95,6 +95,7 @@ def with_ending(values: DataFrame, key: list[str], text: str = "text", source: s
       or is the whole of a short text that recurs and that few other texts begin with;
     * whose last line has the shape of lines inside other texts and ends in a word that the source uses (5 times or more);
     * whose last two or three tokens end lines or texts in a fifth or more of their places in the source.
+    In the last two cases the last word must stand elsewhere too: a stub that only cuts leave is no word.
     The statistics are counted over all texts by ordinary aggregations and joined back to the unknown endings alone,
     which are few; blank and null texts are ``none``. ``key`` names columns that identify a row.
     """
@@ -117,6 +118,7 @@ def with_ending(values: DataFrame, key: list[str], text: str = "text", source: s
     inside = counted(inner, "last_line", "inside")
     shapes = counted(inner.select(source, F.regexp_replace("last_line", r"[\p{L}\p{M}_]+", "a").alias("shape")), "shape", "shaped")
     final = unknown.groupBy(source, "last_line").agg(F.count("*").alias("n"))
+    stubs = unknown.groupBy(source, "g1").agg(F.count("*").alias("finals"))
     starts = v.where(F.size("lines") == 1).select(source, F.regexp_extract_all(plain_line(F.get("lines", 0)), F.lit(_TOKEN), 0).alias("t")).select(source, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.concat_ws(" ", F.slice("t", 1, k))))).alias("whole"))
     unknown = unknown.withColumn("whole", F.when(F.col("single") & (F.size("toks") <= 4), F.concat_ws(" ", "toks")))
     begun = join_small(starts, unknown.select(source, "whole").where(F.col("whole").isNotNull()).distinct(), [source, "whole"], "left_semi").groupBy(source, "whole").agg(F.count("*").alias("begun"))
@@ -127,11 +129,13 @@ def with_ending(values: DataFrame, key: list[str], text: str = "text", source: s
         asked = unknown.select(source, f"g{n}").where(F.col(f"g{n}").isNotNull()).distinct()
         seen = join_small(grams, asked, [source, f"g{n}"], "left_semi").groupBy(source, f"g{n}").agg(F.count("*").alias(f"places{n}"), F.count_if("at_end").alias(f"ends{n}"))
         out = out.join(seen, [source, f"g{n}"], "left")
-    out = out.join(inside, [source, "last_line"], "left").join(shapes, [source, "shape"], "left").join(final, [source, "last_line"], "left").join(total, source).join(begun, [source, "whole"], "left")
+    out = out.join(inside, [source, "last_line"], "left").join(shapes, [source, "shape"], "left").join(final, [source, "last_line"], "left").join(total, source).join(stubs, [source, "g1"], "left").join(begun, [source, "whole"], "left")
     ratio = lambda n: ((F.col(f"places{n}") >= 5) & (F.col(f"ends{n}") >= 0.2 * F.col(f"places{n}"))) | ((F.col(f"ends{n}") >= 3) & (F.col(f"ends{n}") >= 0.5 * F.col(f"places{n}")))
     line = ~F.col("single") & ((F.col("inside") >= 3) | (F.col("n") >= F.greatest(F.lit(3), 0.003 * F.col("texts"))))
     short = (F.col("n") >= 3) & (F.col("n") >= 0.5 * F.col("begun"))
     shaped = ~F.col("single") & (F.col("shaped") >= 3) & (F.col("places1") >= 5)
-    ok = F.coalesce(line, F.lit(False)) | F.coalesce(short, F.lit(False)) | F.coalesce(shaped, F.lit(False)) | F.coalesce(ratio(2), F.lit(False)) | F.coalesce(ratio(3), F.lit(False))
+    whole = F.col("places1") - F.col("finals") >= F.greatest(F.lit(3), 0.5 * F.col("finals"))
+    no = lambda c: F.coalesce(c, F.lit(False))
+    ok = no(F.col("inside") >= 3) | no(short) | no(whole) & (no(line) | no(shaped) | no(ratio(2)) | no(ratio(3)))
     known = out.where(ok).select(*key).distinct().withColumn("is_known", F.lit(True))
     return values.join(v.select(*key, "ending"), key).join(known, key, "left").withColumn("ending", F.when(F.col("is_known"), "known").otherwise(F.col("ending"))).drop("is_known")

@@ -41,21 +41,26 @@ def test_limits_tell_cut_from_complete_atoms():
     assert got[400] > 0.9 and got[500] < 0.1 and set(got.index) == {400, 500}
 
 
+def word(rng, n=400):
+    k = rng.randrange(n)
+    return "".join("bdfgklmnprst"[(k * p + k // 7) % 12] + "aeiou"[(k // p) % 5] for p in (1, 5, 11))
+
+
 def sentence(rng):
-    return f"The {rng.choice(['index', 'queue', 'worker'])} {rng.choice(['stores', 'drops', 'merges'])} {rng.choice(['old', 'blank', 'failed'])} {rng.choice(['rows', 'pages', 'jobs'])} in {rng.randint(2, 900)} steps of the nightly rebuild."
+    return f"The {word(rng)} {word(rng)} {rng.choice(['stores', 'drops', 'merges'])} {word(rng)} {word(rng)} in {rng.randint(2, 900)} steps of the {word(rng)}."
 
 
 def test_events_end_to_end(spark):
     rng = random.Random(5)
     rows, want = [], set()
     for i in range(400):
-        text = " ".join(sentence(rng) for _ in range(rng.randint(1, 9)))
-        limited = text[:300]
-        if len(text) > 300:
+        text = " ".join(sentence(rng) for _ in range(rng.randint(1, 7)))
+        limited = text[:400]
+        if len(text) > 400:
             want.add((f"e{i}", "generated_answer", -1))
-        preview = [f"[file] a-{rng.choice(['x', 'y'])}.md\n" * rng.randint(1, 4) + "[dir] b/", "[tool_error] not found", None, " ".join(sentence(rng) for _ in range(3))]
+        preview = ["\n".join(f"[file] {word(rng)}{rng.choice(['', 'x', 'yy'])}.md" for _ in range(rng.randint(1, 9))), "[tool_error] not found", None, " ".join(sentence(rng) for _ in range(3))]
         if i % 10 == 0:
-            preview[3] = preview[3][:-20]
+            preview[3] = preview[3][: -rng.randint(3, 50)].rstrip(". ")
             want.add((f"e{i}", "result_preview", 3))
         calls = [("files", "{}", preview[0], True), ("files", "{}", preview[1], False), ("files", "{}", preview[2], True), ("search", "{}", preview[3], True)]
         row = (f"e{i}", "q", limited, " Model-A", "query", (1, calls), "clash", "clash")
