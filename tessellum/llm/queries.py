@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("q_pairs", "q_threads", "q_scans", "q_leaks", "q_mixing", "q_cuts")
+MODULES = ("q_pairs", "q_threads", "q_scans", "q_leaks", "q_mixing", "q_cuts", "q_toxic")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
