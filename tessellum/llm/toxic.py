@@ -260,7 +260,8 @@ def seed_windows(background: list[list[str]], seed: int = 1, rounds: int = 6) ->
 def train(labelled: list[tuple[str, str]], unlabelled: list[str] = [], seed: int = 5) -> Network:  # noqa: B006
     """Fit on seeds set into windows of ordinary documents; then again with windows that the documents themselves teach.
 
-    Ordinary are documents judged ``none`` and the unlabelled sample, few of whose windows are cases. In the second and
+    Ordinary are documents judged ``none`` and the unlabelled sample, without windows that a network trained on the seeds
+    alone takes for cases. In the second and
     third pass a document judged to be of a category teaches its best window as a case, if the network gives it at least
     some credit; and windows of ordinary documents of which the network is unsure teach that they are no case. Of those it
     is sure, judgements may be wrong, and they teach nothing.
@@ -270,7 +271,10 @@ def train(labelled: list[tuple[str, str]], unlabelled: list[str] = [], seed: int
     every = [w for t in ordinary for w in windows(tokens(t))]
     rng.shuffle(every)
     every = every[:40_000]
-    net = fit(Network(seed), seed_windows(every[:9000]), 4)
+    first = fit(Network(seed + 1), seed_windows([]), 3)  # seeds alone say which ordinary windows may be cases
+    doubt = score_windows(first, Vocabulary(), every).max(1) if every else np.zeros(0)
+    calm = [w for w, d in zip(every, doubt, strict=True) if d < 0.5]
+    net = fit(Network(seed), seed_windows(calm[:9000]), 4)
     for k, rate in ((2, 0.003), (3, 0.0015)):
         vocab = Vocabulary()
         more: list[tuple[list[str], np.ndarray, float]] = []
@@ -284,9 +288,9 @@ def train(labelled: list[tuple[str, str]], unlabelled: list[str] = [], seed: int
                     y[c] = 1
                     more.append((wins[best], y, 2.0))
         top = score_windows(net, vocab, every).max(1) if every else np.zeros(0)
-        unsure = [every[i] for i in np.argsort(-top) if 0.02 < top[i] < 0.6][:3000]
+        unsure = [every[i] for i in np.argsort(-top) if 0.02 < top[i] < 0.6 and doubt[i] < 0.8][:3000]
         more += [(w, np.zeros(len(CATEGORIES), np.float32), 1.5) for w in unsure]
-        net = fit(net, seed_windows(every[k * 4000 : k * 4000 + 6000], seed=k, rounds=4) + more, 2, rate=rate)
+        net = fit(net, seed_windows(calm[k * 4000 : k * 4000 + 6000] or calm[:6000], seed=k, rounds=4) + more, 2, rate=rate)
     return net
 
 
