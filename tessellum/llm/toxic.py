@@ -263,8 +263,8 @@ def train(labelled: list[tuple[str, str]], unlabelled: list[str] = [], seed: int
     Ordinary are documents judged ``none`` and the unlabelled sample, without windows that a network trained on the seeds
     alone takes for cases. In the second and
     third pass a document judged to be of a category teaches its best window as a case, if the network gives it at least
-    some credit; and windows of ordinary documents of which the network is unsure teach that they are no case. Of those it
-    is sure, judgements may be wrong, and they teach nothing.
+    some credit; and windows that are no case are taught where the network is unsure of ordinary ones, or takes one of a
+    document judged ``none`` for a case. Few such judgements are wrong, and the seeds outweigh them.
     """
     rng = random.Random(seed)
     ordinary = [t for t, cat in labelled if cat == "none"] + unlabelled
@@ -290,6 +290,9 @@ def train(labelled: list[tuple[str, str]], unlabelled: list[str] = [], seed: int
         top = score_windows(net, vocab, every).max(1) if every else np.zeros(0)
         unsure = [every[i] for i in np.argsort(-top) if 0.02 < top[i] < 0.6 and doubt[i] < 0.8][:3000]
         more += [(w, np.zeros(len(CATEGORIES), np.float32), 1.5) for w in unsure]
+        judged = [w for text, cat in labelled if cat == "none" for w in windows(tokens(text))]
+        wrong = score_windows(net, vocab, judged).max(1) if judged else np.zeros(0)
+        more += [(judged[i], np.zeros(len(CATEGORIES), np.float32), 1.5) for i in np.argsort(-wrong) if wrong[i] > 0.3][:2000]
         net = fit(net, seed_windows(calm[k * 4000 : k * 4000 + 6000] or calm[:6000], seed=k, rounds=4) + more, 2, rate=rate)
     return net
 
