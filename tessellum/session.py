@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -77,3 +78,14 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of a session, once, whatever their working folder and path are."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tessellum_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spark-"), "tessellum"), "zip", root, "tessellum")
+    sc.addPyFile(archive)
+    sc._tessellum_shipped = True
