@@ -83,8 +83,18 @@ def plain_line(line: Column) -> Column:
 _TOKEN = r"[\p{L}\p{M}_]+|#|[^\s\p{L}\p{M}_#]"
 
 
-def _ngrams(tokens: str, n: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.size(tokens) - n), lambda i: F.struct(F.concat_ws(" ", *[F.get(tokens, i + j) for j in range(n)]).alias("gram"), (i == F.size(tokens) - n).alias("at_end")))
+def _feature(kind: str, gram: Column, at_end: Column | None = None) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), gram.alias("gram"), (F.lit(False) if at_end is None else at_end).alias("at_end"))
+
+
+def _ngrams(tokens: Column, n: int) -> Column:
+    """The n-grams of a line's tokens, with whether they end the line."""
+    runs = F.transform(F.sequence(F.lit(0), F.size(tokens) - n), lambda i: _feature(f"g{n}", F.concat_ws(" ", *[F.get(tokens, i + j) for j in range(n)]), i == F.size(tokens) - n))
+    return F.when(F.size(tokens) >= n, runs)
+
+
+def _shape(line: Column) -> Column:
+    return F.regexp_replace(line, r"[\p{L}\p{M}_]+", "a")
 
 
 def with_ending(values: DataFrame, key: list[str], text: str = "text", source: str = "source") -> DataFrame:
@@ -96,46 +106,36 @@ def with_ending(values: DataFrame, key: list[str], text: str = "text", source: s
     * whose last line has the shape of lines inside other texts and ends in a word that the source uses (5 times or more);
     * whose last two or three tokens end lines or texts in a fifth or more of their places in the source.
     In the last two cases the last word must stand elsewhere too: a stub that only cuts leave is no word.
-    The statistics are counted over all texts by ordinary aggregations and joined back to the unknown endings alone,
-    which are few; blank and null texts are ``none``. ``key`` names columns that identify a row.
+    What the unknown endings, which are few, ask for is counted over all texts by one aggregation and joined back.
+    Blank and null texts are ``none``. ``key`` names columns that identify a row.
     """
-    v = values.withColumn("ending", ending_kind(F.col(text)))
-    lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+$", ""), "\n")
-    v = v.select(*key, source, "ending", lines.alias("lines")).withColumn("last_line", plain_line(F.element_at("lines", -1)))
-    unknown = v.where("ending = 'unknown'").select(*key, source, "last_line", (F.size("lines") == 1).alias("single"), F.regexp_extract_all("last_line", F.lit(_TOKEN), 0).alias("toks"))
-    unknown = unknown.withColumn("shape", F.regexp_replace("last_line", r"[\p{L}\p{M}_]+", "a"))
-    for n in (1, 2, 3):
-        unknown = unknown.withColumn(f"g{n}", F.when(F.size("toks") >= n, F.concat_ws(" ", F.slice("toks", -n, n))))
-    unknown = materialize(unknown, "endings")
-    total = values.groupBy(source).agg(F.count("*").alias("texts"))
-
-    def counted(rows: DataFrame, column: str, name: str) -> DataFrame:
-        """How often each (source, column) of the unknown endings stands in ``rows``."""
-        asked = unknown.select(source, column).where(F.col(column).isNotNull()).distinct()
-        return join_small(rows.where(F.col(column).isNotNull()), asked, [source, column], "left_semi").groupBy(source, column).agg(F.count("*").alias(name))
-
-    inner = v.where(F.size("lines") > 1).select(source, F.explode(F.slice("lines", 1, F.size("lines") - 1)).alias("l")).select(source, plain_line(F.col("l")).alias("last_line"))
-    inside = counted(inner, "last_line", "inside")
-    shapes = counted(inner.select(source, F.regexp_replace("last_line", r"[\p{L}\p{M}_]+", "a").alias("shape")), "shape", "shaped")
-    final = unknown.groupBy(source, "last_line").agg(F.count("*").alias("n"))
-    stubs = unknown.groupBy(source, "g1").agg(F.count("*").alias("finals"))
-    starts = v.where(F.size("lines") == 1).select(source, F.regexp_extract_all(plain_line(F.get("lines", 0)), F.lit(_TOKEN), 0).alias("t")).select(source, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.concat_ws(" ", F.slice("t", 1, k))))).alias("whole"))
-    unknown = unknown.withColumn("whole", F.when(F.col("single") & (F.size("toks") <= 4), F.concat_ws(" ", "toks")))
-    begun = join_small(starts, unknown.select(source, "whole").where(F.col("whole").isNotNull()).distinct(), [source, "whole"], "left_semi").groupBy(source, "whole").agg(F.count("*").alias("begun"))
-    each = v.select(source, F.explode("lines").alias("l")).select(source, F.regexp_extract_all(plain_line(F.col("l")), F.lit(_TOKEN), 0).alias("t"))
-    out = unknown
-    for n in (1, 2, 3):
-        grams = each.where(F.size("t") >= n).select(source, F.explode(_ngrams("t", n)).alias("x")).select(source, F.col("x.gram").alias(f"g{n}"), "x.at_end")
-        asked = unknown.select(source, f"g{n}").where(F.col(f"g{n}").isNotNull()).distinct()
-        seen = join_small(grams, asked, [source, f"g{n}"], "left_semi").groupBy(source, f"g{n}").agg(F.count("*").alias(f"places{n}"), F.count_if("at_end").alias(f"ends{n}"))
-        out = out.join(seen, [source, f"g{n}"], "left")
-    out = out.join(inside, [source, "last_line"], "left").join(shapes, [source, "shape"], "left").join(final, [source, "last_line"], "left").join(total, source).join(stubs, [source, "g1"], "left").join(begun, [source, "whole"], "left")
-    ratio = lambda n: ((F.col(f"places{n}") >= 5) & (F.col(f"ends{n}") >= 0.2 * F.col(f"places{n}"))) | ((F.col(f"ends{n}") >= 3) & (F.col(f"ends{n}") >= 0.5 * F.col(f"places{n}")))
-    line = ~F.col("single") & ((F.col("inside") >= 3) | (F.col("n") >= F.greatest(F.lit(3), 0.003 * F.col("texts"))))
-    short = (F.col("n") >= 3) & (F.col("n") >= 0.5 * F.col("begun"))
-    shaped = ~F.col("single") & (F.col("shaped") >= 3) & (F.col("places1") >= 5)
-    whole = F.col("places1") - F.col("finals") >= F.greatest(F.lit(3), 0.5 * F.col("finals"))
-    no = lambda c: F.coalesce(c, F.lit(False))
-    ok = no(F.col("inside") >= 3) | no(short) | no(whole) & (no(line) | no(shaped) | no(ratio(2)) | no(ratio(3)))
-    known = out.where(ok).select(*key).distinct().withColumn("is_known", F.lit(True))
-    return values.join(v.select(*key, "ending"), key).join(known, key, "left").withColumn("ending", F.when(F.col("is_known"), "known").otherwise(F.col("ending"))).drop("is_known")
+    v = values.select(*key, F.col(source).alias("src"), ending_kind(F.col(text)).alias("ending"), F.transform(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+$", ""), "\n"), plain_line).alias("lines"))
+    unknown = v.where("ending = 'unknown'").withColumn("last", F.element_at("lines", -1)).withColumn("t", F.regexp_extract_all("last", F.lit(_TOKEN), 0)).withColumn("single", F.size("lines") == 1)
+    tail = lambda n: F.when(F.size("t") >= n, F.concat_ws(" ", F.slice("t", -n, n)))
+    asks = [_feature(f"g{n}", tail(n)) for n in (1, 2, 3)] + [_feature("line", F.col("last")), _feature("shape", _shape(F.col("last"))), _feature("start", F.when(F.col("single") & (F.size("t") <= 4), F.concat_ws(" ", "t"))), _feature("final", F.col("last")), _feature("stub", tail(1)), _feature("texts", F.lit(""))]
+    unknown = materialize(unknown.select(*key, "src", "single", F.filter(F.array(*asks), lambda x: x["gram"].isNotNull()).alias("asks")), "endings")
+    asked = unknown.select(*key, "src", "single", F.explode("asks").alias("x")).select(*key, "src", "single", "x.kind", "x.gram")
+    per_line = v.select("src", F.size("lines").alias("n"), F.posexplode("lines").alias("p", "l")).withColumn("t", F.regexp_extract_all("l", F.lit(_TOKEN), 0))
+    inner = F.when(F.col("p") < F.col("n") - 1, F.array(_feature("line", F.col("l")), _feature("shape", _shape(F.col("l")))))
+    starts = F.when(F.col("n") == 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: _feature("start", F.concat_ws(" ", F.slice("t", 1, k))))))
+    first = F.when(F.col("p") == 0, F.array(_feature("texts", F.lit(""))))
+    none = F.array().cast("array<struct<kind:string,gram:string,at_end:boolean>>")
+    features = F.concat(*[F.coalesce(x, none) for x in (*[_ngrams(F.col("t"), n) for n in (1, 2, 3)], inner, starts, first)])
+    rows = per_line.select("src", F.explode(features).alias("x")).select("src", "x.kind", "x.gram", "x.at_end")
+    on = ["src", "kind", "gram"]
+    ends = asked.where(F.col("kind").isin("final", "stub")).groupBy(*on).agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("ends"))
+    seen = join_small(rows, asked.where(~F.col("kind").isin("final", "stub")).select(*on).distinct(), on, "left_semi").groupBy(*on).agg(F.count("*").alias("n"), F.count_if("at_end").alias("ends"))
+    facts = asked.join(seen.unionByName(ends), on).groupBy(*key).agg(
+        F.first("single").alias("single"),
+        *[F.coalesce(F.max(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in ("g1", "g2", "g3", "line", "shape", "start", "final", "stub", "texts")],
+        *[F.coalesce(F.max(F.when(F.col("kind") == f"g{n}", F.col("ends"))), F.lit(0)).alias(f"e{n}") for n in (2, 3)],
+    )
+    c = F.col
+    ratio = lambda n: ((c(f"g{n}") >= 5) & (c(f"e{n}") >= 0.2 * c(f"g{n}"))) | ((c(f"e{n}") >= 3) & (c(f"e{n}") >= 0.5 * c(f"g{n}")))
+    line = ~c("single") & (c("final") >= F.greatest(F.lit(3), 0.003 * c("texts")))
+    short = (c("start") > 0) & (c("final") >= 3) & (c("final") >= 0.5 * c("start"))
+    shaped = ~c("single") & (c("shape") >= 3) & (c("g1") >= 5)
+    whole = c("g1") - c("stub") >= F.greatest(F.lit(3), 0.5 * c("stub"))
+    known = facts.where((c("line") >= 3) | short | whole & (line | shaped | ratio(2) | ratio(3))).select(*key, F.lit(True).alias("is_known"))
+    ended = v.select(*key, "ending").join(known, key, "left").select(*key, F.when(F.col("is_known"), "known").otherwise(F.col("ending")).alias("ending"))
+    return values.join(ended, key)

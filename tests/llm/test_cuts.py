@@ -47,16 +47,16 @@ def word(rng, n=400):
 
 
 def sentence(rng):
-    return f"The {word(rng)} {word(rng)} {rng.choice(['stores', 'drops', 'merges'])} {word(rng)} {word(rng)} in {rng.randint(2, 900)} steps of the {word(rng)}."
+    return f"The {word(rng)} {word(rng)} {rng.choice(['stores', 'drops', 'merges'])} {word(rng)} {word(rng)} in {rng.randint(2, 900)} {' '.join(word(rng) for _ in range(rng.randint(1, 9)))} steps of the {word(rng)}."
 
 
 def test_events_end_to_end(spark):
     rng = random.Random(5)
     rows, want = [], set()
     for i in range(400):
-        text = " ".join(sentence(rng) for _ in range(rng.randint(1, 7)))
+        text = " ".join(sentence(rng) for _ in range(rng.randint(1, 6)))
         limited = text[:400]
-        if len(text) > 400:
+        if len(text) > 400 and not limited.rstrip().endswith("."):  # a cut at a sentence's end cannot be seen
             want.add((f"e{i}", "generated_answer", -1))
         preview = ["\n".join(f"[file] {word(rng)}{rng.choice(['', 'x', 'yy'])}.md" for _ in range(rng.randint(1, 9))), "[tool_error] not found", None, " ".join(sentence(rng) for _ in range(3))]
         if i % 10 == 0:
