@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessellum.functions import text as tx
+from tessellum.session import materialize
 
 
 def last_messages(messages: DataFrame, n: int) -> DataFrame:
@@ -34,19 +35,26 @@ def nest(conversations: DataFrame, messages: DataFrame, n: int = 1000) -> DataFr
 
 
 def prune(messages: DataFrame, budget: int, tokens: Column, prunable: Column, order: list[Column], keep: int = 2) -> DataFrame:
-    """Messages that stay when a conversation exceeds its budget of tokens.
+    """Messages that stay when a conversation exceeds its budget of tokens. Ids must be unique and not null.
 
     Prunable ones go in the given order (oldest, or least relevant first) until the rest fits, but never the last
-    ``keep`` of them. What goes is told by running sums, without a loop.
+    ``keep`` of them. What goes is told by running sums, without a loop: prunable messages are range-partitioned by
+    conversation and order, so that a conversation of any size is summed in blocks and no task holds it whole.
     """
-    m = messages.withColumn("_t", tokens).withColumn("_p", prunable)
-    conv = Window.partitionBy("conversation_id")
-    drop_order = Window.partitionBy("conversation_id", "_p").orderBy(*order)
-    recent = Window.partitionBy("conversation_id", "_p").orderBy(F.desc("created_at"), F.desc("id"))
-    m = m.withColumn("_total", F.sum("_t").over(conv)).withColumn("_late", F.row_number().over(recent) <= keep)
-    free = F.col("_p") & ~F.col("_late")
-    before = F.coalesce(F.sum(F.when(free, F.col("_t")).otherwise(0)).over(drop_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return m.withColumn("_gone", free & (F.col("_total") - before > budget)).where(~F.col("_gone")).drop("_t", "_p", "_total", "_late", "_gone")
+    m = messages.withColumn("_t", tokens).withColumn("_p", F.coalesce(prunable, F.lit(False)))
+    recent = Window.partitionBy("conversation_id").orderBy(F.desc("created_at"), F.desc("id"))
+    late = m.where("_p").select("conversation_id", "id", "created_at").withColumn("_r", F.row_number().over(recent)).where(F.col("_r") <= keep).select("id")
+    total = m.groupBy("conversation_id").agg(F.sum("_t").alias("_total"))
+    free = m.where("_p").join(late, "id", "left_anti")
+    parts = int(m.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocked = materialize(free.repartitionByRange(parts, F.col("conversation_id"), *order).withColumn("_b", F.spark_partition_id()), "prune")
+    by_block = Window.partitionBy("conversation_id").orderBy("_b")  # at most one row per range partition
+    upto = blocked.groupBy("conversation_id", "_b").agg(F.sum("_t").alias("_s")).withColumn("_before", F.sum("_s").over(by_block) - F.col("_s")).drop("_s")
+    inside = Window.partitionBy("conversation_id", "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    gone = F.col("_total") - F.col("_before") - F.coalesce(F.sum("_t").over(inside), F.lit(0)) > budget
+    kept = blocked.join(upto, ["conversation_id", "_b"]).join(total, "conversation_id").withColumn("_gone", gone).where(~F.col("_gone")).select(*messages.columns)
+    rest = m.where(~F.col("_p")).unionByName(m.where("_p").join(late, "id", "left_semi").select(*m.columns))
+    return kept.unionByName(rest.select(*messages.columns))
 
 
 def traces(messages: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,9 +18,10 @@ def upsert(table: DataFrame, batch: DataFrame, key: str) -> DataFrame:
 
 
 def insert_if_absent(table: DataFrame, batch: DataFrame, key: str, order: str) -> DataFrame:
-    """The table and the batch's rows of new keys; of several in the batch the first by ``order`` wins."""
-    w = Window.partitionBy(key).orderBy(order)
-    first = batch.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """The table and the batch's rows of new keys; of several in the batch the first by ``order`` wins (a partial
+    aggregation, safe for hot keys)."""
+    rest = [c for c in batch.columns if c not in (key, order)]
+    first = batch.groupBy(key).agg(F.min(F.struct(F.col(order), *[F.col(c) for c in rest])).alias("_r")).select(key, "_r.*").select(*batch.columns)
     return table.unionByName(first.join(table.select(key), key, "left_anti"))
 
 
