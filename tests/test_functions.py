@@ -87,7 +87,7 @@ def test_contextual_and_names(spark):
 def test_small_helpers(spark):
     assert one(spark, tx.truncate_utf8(F.col("t"), 4, "…"), "aéé", schema="t string") == "aé…"
     assert one(spark, tx.stream_words(F.col("t")), "a b  c", schema="t string") == ["a ", "b ", " ", "c"]
-    assert one(spark, tx.correct_terms(F.col("t"), {"quad rant": "Qdrant", "rust": "Rust"}), "The Quad Rant and rust, trust", schema="t string") == "The Qdrant and Rust, trust"
+    assert one(spark, tx.correct_terms(F.col("t"), {"quad rant": "Quadrant", "ai": "AI"}), "The Quad Rant and ai, train", schema="t string") == "The Quadrant and AI, train"
     body = 'data: {"choices":[{"delta":{"content":"He"}}]}\n\ndata: {"choices":[{"delta":{"content":"y"}}]}\n\ndata: [DONE]\ndata: {"choices":[{"delta":{"content":"no"}}]}'
     assert one(spark, tx.sse_text(F.col("t")), body, schema="t string") == "Hey"
     assert one(spark, tx.is_uuid(F.col("t")), "019af080-7d7d-46ef-a846-ca734b116194", schema="t string") and not one(spark, tx.is_uuid(F.col("t")), "x", schema="t string")
