@@ -111,44 +111,58 @@ def _lost(pattern: list[str], weights: list[float], text: list[str]) -> float:
 
 
 def verify(batches: Iterator[pd.DataFrame], rule: Leak) -> Iterator[pd.DataFrame]:
-    """Piece hits -> (doc_id, item_id, at, edits, lost): windows of the item that the stretch holds within the budget."""
+    """Piece hits -> (doc_id, item_id, at, edits, lost): windows of the item that the stretch holds within the budget.
+
+    A window is cut into whole pieces from its first word on, so a hit concerns only the windows in which it is one of
+    these pieces. Texts shorter than a window have too few whole pieces; any hit concerns them.
+    """
     for pdf in batches:
         if pdf.empty:
             continue
         codes: dict[str, int] = {}
-        rows, pats, texts, offs = [], [], [], []
-        for i, (iw, p, st) in enumerate(zip(pdf["words"], pdf["item_pos"], pdf["stretch"], strict=True)):
-            iw = list(iw)
-            m = min(rule.window, len(iw))
-            code_i = [codes.setdefault(w, len(codes)) for w in iw]
-            code_t = [codes.setdefault(w, len(codes)) for w in st]
-            for s in range(max(0, p + rule.piece - m), min(p, len(iw) - m) + 1):
-                rows.append(i)
-                offs.append(s)
-                pats.append(code_i[s : s + m])
-                texts.append(code_t)
+        known: dict[tuple, list[int]] = {}
+        hits = list(zip(pdf["doc_id"].tolist(), pdf["item_id"].tolist(), pdf["field"].tolist(), pdf["words"].tolist(), pdf["weights"].tolist(), pdf["item_pos"].tolist(), pdf["start"].tolist(), pdf["stretch"].tolist(), strict=True))
+        rows: list[tuple[int, int, int]] = []
+        pats, texts = [], []
+        for i, (_, item, fld, iw, _, p, _, st) in enumerate(hits):
+            coded = known.get((item, fld))
+            if coded is None:
+                coded = known[item, fld] = [codes.setdefault(w, len(codes)) for w in iw]
+            m = min(rule.window, len(coded))
+            if m == rule.window:
+                starts = [s for s in range(p, p - m + rule.piece - 1, -rule.piece) if 0 <= s <= len(coded) - m]
+            else:
+                starts = [0]
+            if starts:
+                text = [codes.setdefault(w, len(codes)) for w in st]
+                for s in starts:
+                    rows.append((i, s, m))
+                    pats.append(coded[s : s + m])
+                    texts.append(text)
         if not rows:
             continue
-        lengths = np.array([len(x) for x in pats])
+        lengths = np.array([m for _, _, m in rows])
         pattern = np.full((len(pats), rule.window), -2, np.int64)
         text = np.full((len(texts), max(map(len, texts))), -1, np.int64)
-        for k, (a, b) in enumerate(zip(pats, texts, strict=True)):
-            pattern[k, : len(a)] = a
-            text[k, : len(b)] = b
+        for k, (x, y) in enumerate(zip(pats, texts, strict=True)):
+            pattern[k, : len(x)] = x
+            text[k, : len(y)] = y
         edits, ends = myers(pattern, text, lengths)
         allowed = np.minimum(rule.budget, lengths * rule.budget // rule.window)
-        out = []
+        out = set()
         for k in np.flatnonzero(edits <= allowed):
-            r = pdf.iloc[rows[k]]
-            s, m = offs[k], int(lengths[k])
-            end = int(ends[k])
-            pat, seen = list(r["words"][s : s + m]), list(r["stretch"][max(0, end - m - rule.budget) : end])
-            if edits[k] > 1 and (seen[-1] != pat[-1] or pat[0] not in seen[: 2 * rule.budget + 1]):
-                continue  # a shorter passage whose edits are what follows or precedes it
-            lost = _lost(pat, list(r["weights"][s : s + m]), seen) if edits[k] > rule.sure else 0.0
+            i, s, m = rows[k]
+            doc, item, _, iw, weights, _, start, st = hits[i]
+            end, n = int(ends[k]), int(edits[k])
+            lost = 0.0
+            if n > rule.sure:
+                pat, seen = list(iw[s : s + m]), list(st[max(0, end - m - rule.budget) : end])
+                if n > 1 and (seen[-1] != pat[-1] or pat[0] not in seen[: 2 * rule.budget + 1]):
+                    continue  # a shorter passage whose edits are what follows or precedes it
+                lost = _lost(pat, list(weights[s : s + m]), seen)
             if lost <= rule.lost:
-                out.append((r["doc_id"], r["item_id"], r["start"] + end - m, int(edits[k]), lost))
-        yield pd.DataFrame(out, columns=["doc_id", "item_id", "at", "edits", "lost"])
+                out.add((doc, item, start + end - m, n, lost))
+        yield pd.DataFrame(list(out), columns=["doc_id", "item_id", "at", "edits", "lost"])
 
 
 def runs_of(documents: DataFrame, k: int, reach: int, step: int = 64) -> DataFrame:
