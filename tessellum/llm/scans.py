@@ -35,6 +35,9 @@ _HYPHENS = "-‐‑­¬"
 _SURE = "­¬"
 _MULTI = (("rn", "m"), ("nn", "m"), ("in", "m"), ("ni", "m"), ("ri", "n"), ("ii", "u"), ("li", "h"), ("cl", "d"), ("tl", "d"), ("vv", "w"))
 _SINGLE = str.maketrans({"c": "e", "f": "t", "0": "o", "1": "l", "i": "l", "|": "l", "!": "l", "ı": "l", "5": "s", "$": "s", "9": "g", "q": "g", "6": "b", "8": "b", "h": "b", "2": "z", "u": "v", "y": "v", "€": "e", "@": "a", "(": "e", "<": "e"})
+_STROKES = str.maketrans({ch: "l" for ch in "1i|!ırnmuvywhb68"} | {ch: "c" for ch in "etf(<€"} | {"d": "cl", "0": "o", "5": "s", "$": "s", "9": "g", "q": "g", "2": "z", "@": "a"})
+_RUN = re.compile("l+")
+_ROMAN = re.compile(r"m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})")
 _BY_RIGHT: dict[str, list[tuple[str, str]]] = {}
 for _w, _r in CONFUSIONS:
     _BY_RIGHT.setdefault(_r[0], []).append((_w, _r))
@@ -53,6 +56,16 @@ def canon(word: str) -> str:
     return w.translate(_SINGLE)
 
 
+def closed_key(word: str) -> str:
+    """A key that no confusion of ``CONFUSIONS`` changes, wherever it stands in the word and however many there are.
+
+    Letters are taken as strokes: all that mix with a run of upright strokes (``m``, ``ni``, ``li``, ``h``, ``u`` ...) are
+    one mark a run, and ``d`` is ``c`` and a stroke. Words of one key need not be misreadings of each other.
+    """
+    w = unicodedata.normalize("NFKD", word.lower())
+    return _RUN.sub("l", "".join(ch for ch in w if not unicodedata.combining(ch)).translate(_STROKES))
+
+
 def confused(right: str, wrong: str, limit: int = 3) -> list[int] | None:
     """Places in ``wrong`` where confusions of ``CONFUSIONS`` turn ``right`` into it, at most ``limit``; None if they can't."""
     best: dict[tuple[int, int], list[int] | None] = {}
@@ -78,7 +91,7 @@ def confused(right: str, wrong: str, limit: int = 3) -> list[int] | None:
 
 @dataclass
 class Lexicon:
-    """Word counts, and words by canonical key; readings are kept per worker."""
+    """Word counts, and words by closed key, the most frequent first; readings are kept per worker."""
 
     counts: dict[str, int]
     heads: frozenset[str] = frozenset()
@@ -87,8 +100,8 @@ class Lexicon:
 
     def __post_init__(self):
         self.total = max(1, sum(self.counts.values()))
-        for w in self.counts:
-            self.keys.setdefault(canon(w), []).append(w)
+        for w in sorted(self.counts, key=lambda w: -self.counts[w]):
+            self.keys.setdefault(closed_key(w), []).append(w)
 
     def cost(self, word: str) -> float:
         n = self.counts.get(word, 0)
@@ -100,10 +113,12 @@ class Lexicon:
             return self.cache[word]
         own = self.counts.get(word, 0)
         found = None
-        for other in sorted(() if word.isdigit() else self.keys.get(canon(word), ()), key=lambda w: -self.counts[w]):
+        for other in () if word.isdigit() else self.keys.get(closed_key(word), ()):
             n = self.counts[other]
             if n < max(5, 8 * own):
                 break
+            if other.isdigit() and len(word) > 1 and _ROMAN.fullmatch(word):
+                continue
             if other != word and (places := confused(other, word)) is not None:
                 found = (other, places)
                 break

@@ -19,6 +19,23 @@ def test_reading(wrong, right):
     assert (got and got[0]) == right
 
 
+@pytest.mark.parametrize(("wrong", "right"), [("index1ng", "indexing"), ("indexlng", "indexing"), ("lndex1ng", "indexing"), ("lndex", "index"), ("1ist", "list"), ("llst", "list"), ("c1ass", "class"), ("rclease", "release"), ("iintil", "until"), ("iii", None)])
+def test_reading_of_confusions_that_touch_pairs(wrong, right):
+    got = scans.Lexicon({w: 1000 for w in "indexing index list class release until 111".split()}).reading(wrong)
+    assert (got and got[0]) == right
+
+
+def test_every_listed_confusion_is_found_in_any_surroundings():
+    rng = random.Random(3)
+    for w, r in scans.CONFUSIONS:
+        for _ in range(50):
+            a, b = ("".join(rng.choices("rnmiludcetvhws1", k=rng.randint(1, 4))) for _ in "ab")
+            right, wrong = f"{a}{r}{b}", f"{a}{w}{b}"
+            assert scans.closed_key(right) == scans.closed_key(wrong)
+            if right != wrong and not wrong.isdigit():
+                assert scans.Lexicon({right: 1000}).reading(wrong)[0] == right
+
+
 @pytest.mark.parametrize(("line", "is_no"), [("12", True), ("- 152 -", True), ("[12]", True), ("p. 117", True), ("Page 3 of 10", True), ("Page l0 of 12", True), ("xlviii", True), ("987  94", False), ("2.", False), ("a", False), ("", False), ("Chapter 3", False), ("3. Citation", False)])
 def test_page_number(line, is_no):
     assert scans.page_number(line) is is_no
