@@ -228,9 +228,12 @@ def conversation_traces(spark, d):
     return messages.traces(_messages(spark, d))
 
 
-@query()
+@query(f"""WITH m AS ({_DEDUP}), c AS (SELECT id, title FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, title DESC NULLS LAST) AS rn FROM conversations WHERE id IS NOT NULL) WHERE rn = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY created_at DESC, id DESC) AS back, count(*) OVER (PARTITION BY conversation_id) AS n FROM m),
+l AS (SELECT conversation_id, list(struct_pack(place := CAST(least(n, 1000) - back + 1 AS INTEGER), role := role, content := content) ORDER BY back DESC) AS messages FROM r WHERE back <= 1000 GROUP BY 1)
+SELECT c.id AS conversation_id, c.title, coalesce(l.messages, []) AS messages FROM c LEFT JOIN l ON l.conversation_id = c.id""")
 def nested_conversations(spark, d):
-    return messages.nest(table(spark, d, "conversations").where(F.col("id").isNotNull()), _messages(spark, d), 20)
+    return messages.nest(table(spark, d, "conversations").where(F.col("id").isNotNull()), _messages(spark, d))
 
 
 @query("SELECT m.id, m.conversation_id FROM messages m WHERE m.conversation_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM conversations c WHERE c.id = m.conversation_id)")
