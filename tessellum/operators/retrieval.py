@@ -87,6 +87,56 @@ def sparse_search(postings: DataFrame, query_postings: DataFrame, k: int = 10) -
     return ranked(s, k)
 
 
+def text_search(docs: DataFrame, queries: DataFrame, k: int = 10, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, id, score, rank): ``sparse_search`` of texts, for query sets that grow with the documents.
+
+    ``docs`` (id, text) and ``queries`` (query_id, text) have unique ids. Each task sums the weight products of its
+    documents with a block of queries over an inverted index of the batch and keeps k candidates a query, so products
+    are never shuffled. Scores are rounded to 12 digits before they are ranked; ties go to the smaller id.
+    """
+    words = lambda df, key: df.select(key, tx.terms(F.col("text")).alias("words")).where(F.size("words") > 0)
+    q = words(queries, "query_id").withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // block)))))
+    parts = [r.part for r in q.select("part").distinct().collect()]
+    pts = spread(words(docs, "id"))
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {docs.schema['id'].dataType.simpleString()}, score double"
+    out = None
+    for part in parts:
+        rows = q.where(F.col("part") == part).select("query_id", "words").toPandas()
+        vocab: dict[str, int] = {}
+        vectors = []
+        for ws in rows["words"]:
+            t, c = np.unique([vocab.setdefault(w, len(vocab)) for w in ws], return_counts=True)
+            vectors.append((t.astype(np.int32), c / len(ws)))
+        shared = docs.sparkSession.sparkContext.broadcast((rows["query_id"].to_numpy(), vocab, vectors))
+
+        def top(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            qid, vocab, vectors = shared.value
+            for pdf in batches:
+                pid = pdf["id"].to_numpy()
+                sizes = pdf["words"].map(len).to_numpy()
+                terms = np.fromiter((vocab.get(w, -1) for ws in pdf["words"] for w in ws), np.int64, sizes.sum())
+                cell, count = np.unique((terms * len(pid) + np.repeat(np.arange(len(pid)), sizes))[terms >= 0], return_counts=True)  # by term, then document
+                doc = cell % len(pid)
+                weight = count / sizes[doc]
+                at = np.searchsorted(cell, np.arange(len(vocab) + 1) * len(pid))
+                found = []
+                for i, (t, qw) in enumerate(vectors):
+                    s = np.zeros(len(pid))
+                    for a, b, x in zip(at[t].tolist(), at[t + 1].tolist(), qw.tolist(), strict=True):
+                        s[doc[a:b]] += weight[a:b] * x
+                    edge = np.partition(s, -k)[-k] - 1e-11 if len(s) > k else 0.0
+                    j = np.flatnonzero((s >= edge) & (s > 0))
+                    found.append((np.full(len(j), i), j, s[j]))
+                i, j, s = map(np.concatenate, zip(*found, strict=True))
+                yield pd.DataFrame({"query_id": qid[i], "id": pid[j], "score": s})
+
+        scores = pts.mapInPandas(top, schema)
+        out = scores if out is None else out.unionByName(scores)
+    if out is None:
+        return docs.sparkSession.createDataFrame([], schema + ", rank int")
+    return ranked(out.withColumn("score", F.round("score", 12)), k)
+
+
 def rrf(lists: list[DataFrame], k: int = 10, constant: int = 60) -> DataFrame:
     """(query_id, id, score, rank): reciprocal rank fusion of ranked lists; a point may be in one list only."""
     every = None

@@ -135,11 +135,49 @@ def fused_search(spark, d):
 SELECT query_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY rank)) AS context_md5, count(*) AS chunks FROM t WHERE used <= {BUDGET} GROUP BY 1"""
 )
 def budgeted_context(spark, d):
+    return _context(spark, d, _fuse(spark, d))
+
+
+def _context(spark, d, fused):
     texts = table(spark, d, "documents").where(F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), "text")
-    r = retrieval.token_budget(_fuse(spark, d).join(texts, "id"), BUDGET, tx.token_estimate(F.col("text")))
+    r = retrieval.token_budget(fused.join(texts, "id"), BUDGET, tx.token_estimate(F.col("text")))
     return retrieval.assemble_context(r).join(r.groupBy("query_id").agg(F.count("*").alias("chunks")), "query_id").select("query_id", F.md5("context").alias("context_md5"), "chunks")
 
 
+# every 50th document as a query: its text, and for the fusion its lead of 200 characters too
+_EVERY_50 = "SELECT doc_id AS id, text FROM documents WHERE doc_id % 50 = 0"
+_LEADS = "SELECT doc_id AS id, substring(text, 1, 200) AS text FROM documents WHERE doc_id % 50 = 0"
+
+
+def _document_search(spark, d, k, chars=None):
+    text = F.col("text") if chars is None else F.substring("text", 1, chars)
+    q = table(spark, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), text.alias("text"))
+    return retrieval.text_search(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), q, k)
+
+
+@query(f"WITH postings AS ({_terms_sql(_DOCS)}) SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM ({_ranked_sql(_EVERY_50, K)})")
+def sparse_search_documents(spark, d):
+    return _document_search(spark, d, K).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+_FUSED_DOCUMENTS = _FUSED.replace(_ITEMS, _EVERY_50).replace(_ANSWERS, _LEADS)
+
+
+def _fuse_documents(spark, d):
+    lists = [_document_search(spark, d, _P, c) for c in (None, 200)]
+    return retrieval.ranked(_rounded(retrieval.rrf(lists, 2 * _P).drop("rank")), K)
+
+
+@query(_FUSED_DOCUMENTS + f"SELECT query_id, id, round(score, 9) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= {K}")
+def fused_search_documents(spark, d):
+    return _fuse_documents(spark, d).withColumn("score", F.round("score", 9)).select("query_id", "id", "score", "rank")
+
+
+@query(ORACLE["budgeted_context"].replace(_FUSED, _FUSED_DOCUMENTS))
+def budgeted_context_documents(spark, d):
+    return _context(spark, d, _fuse_documents(spark, d))
+
+
 @query(f"SELECT id, count(*) AS kept, round(sum(CAST(s.score AS DOUBLE)), 3) AS total FROM (SELECT id, unnest(retrieved_sources) AS s FROM (SELECT DISTINCT ON (id) id, retrieved_sources FROM eval_events ORDER BY id, ts)) WHERE NOT isnan(s.score) AND s.score >= {THRESHOLD}::FLOAT GROUP BY id")
 def above_threshold(spark, d):
     e = table(spark, d, "eval_events").groupBy("id").agg(F.min_by("retrieved_sources", "ts").alias("s"))

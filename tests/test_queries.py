@@ -2,7 +2,9 @@ import datetime as dt
 from pathlib import Path
 
 import duckdb
+import pytest
 
+from tessellum.operators import retrieval
 from tessellum.plans import core_queries as cq
 
 
@@ -34,3 +36,23 @@ def test_nested_conversations_hold_the_last_thousand(spark, tmp_path):
     by_id = {c: [x[2] for x in m] for c, _, m in got}
     assert {c: len(m) for c, m in by_id.items()} == {"short": 3, "middle": 45, "long": 1000, "none": 0}
     assert by_id["long"] == [f"m{i}" for i in range(5, 1005)]
+
+
+@pytest.mark.parametrize("name", ["sparse_search_documents", "fused_search_documents", "budgeted_context_documents"])
+def test_every_50th_document_is_a_query(spark, sf, name):
+    got, want = both(spark, name, Path(sf), "documents")
+    every = {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").where("doc_id % 50 = 0 and length(text) > 0").collect()}
+    assert got == want
+    assert {r[0] for r in got} == every
+
+
+def test_text_search_in_blocks_equals_sparse_search(spark):
+    texts = [(i, " ".join(f"w{(i * j) % 17}" for j in range(1 + i % 9))) for i in range(60)] + [(90, None), (91, ""), (92, "the is a")]
+    docs = spark.createDataFrame(texts, "id long, text string")
+    qs = docs.where("id % 5 = 0").withColumnRenamed("id", "query_id")
+    want = retrieval.sparse_search(retrieval.tf_postings(docs), retrieval.tf_postings(docs.where("id % 5 = 0")).withColumnRenamed("id", "query_id"), 100)
+    rows = lambda df: sorted((r.query_id, r.id, round(r.score, 9)) for r in df.collect())
+    got = retrieval.text_search(docs, qs, 100, block=4)
+    assert rows(got) == rows(want)
+    assert rows(retrieval.text_search(docs, qs, 3, block=4)) == rows(got.where("rank <= 3"))
+    assert retrieval.text_search(docs, qs.limit(0)).count() == 0
