@@ -127,6 +127,22 @@ def calls(clean: DataFrame) -> DataFrame:
     return fit.where(F.col("call_id").isNull() | F.col("at").isNull() | F.col("answered").isNull() | (F.col("answered") < F.col("at")))
 
 
+def loose(blocked: DataFrame) -> DataFrame:
+    """(conversation_id) of conversations with a pointer that ends in an orphan or a cycle.
+
+    A response points to the call that it names, a call to its block, and a block to the one before, all resolved by
+    ``pointer_jump``. The messages of a block are contracted to its head, and the calls and responses of one call id to
+    one node each, before the jump.
+    """
+    name = lambda kind, c: F.to_json(F.array(F.col("conversation_id"), F.lit(kind), F.col(c).cast("string")))
+    heads = _heads(blocked).select(name("block", "block").alias("id"), F.when(F.col("up").isNotNull(), name("block", "up")).alias("parent"), F.col("n").alias("weight"))
+    made = blocked.where("role = 'TOOL'").select("conversation_id", "block", F.explode(F.from_json("content", "array<struct<id:string>>")).alias("c")).select("conversation_id", "block", F.col("c.id").alias("call_id"))
+    made = made.groupBy("conversation_id", "call_id").agg(F.min("block").alias("block")).select(name("call", "call_id").alias("id"), name("block", "block").alias("parent"), F.lit(0).alias("weight"))
+    named = blocked.where("role = 'TOOL_RESPONSE'").select("conversation_id", "tool_call_id").distinct().select(name("response", "tool_call_id").alias("id"), name("call", "tool_call_id").alias("parent"), F.lit(0).alias("weight"))
+    nodes = materialize(heads.unionByName(made).unionByName(named), "nodes")
+    return pointer_jump(nodes).where("status <> 'ok'").select(F.from_json("id", "array<string>")[0].alias("conversation_id")).distinct()
+
+
 def unanswered(blocked: DataFrame) -> DataFrame:
     """Conversations with a user turn that gets no visible reply before the next turn or the end.
 
@@ -175,7 +191,8 @@ def judge_conversations(clean: DataFrame, blocked: DataFrame, conversations: Dat
         F.min(F.when(F.col("visible") & ~F.col("role").isin("USER", "SYSTEM"), key)).alias("first_other"),
     )
     known = conversations.where(F.col("id").isNotNull()).select(F.col("id").alias("conversation_id")).distinct().withColumn("known", F.lit(True))
-    misfit = calls(clean).select("conversation_id").distinct().withColumn("misfit", F.lit(True))
+    # orphans and cycles by pointer jumping; the aggregates of calls() add calls without response and responses before their call
+    misfit = calls(clean).select("conversation_id").unionByName(loose(blocked)).distinct().withColumn("misfit", F.lit(True))
     silent = unanswered(blocked).withColumn("silent", F.lit(True))
     j = facts.join(known, "conversation_id", "full").join(misfit, "conversation_id", "left").join(silent, "conversation_id", "left")
     no = lambda c: F.coalesce(c, F.lit(False))

@@ -58,6 +58,17 @@ def test_empty_tables(spark):
     assert kept.count() == 0 and judged_.count() == 0
 
 
+def test_orphans_of_the_pointers_are_judged(spark, monkeypatch):
+    call = '[{"id": "k", "name": "n", "arguments": "{}"}]'
+    rows = [(f"{c}{i}", c, r, x, k) for c, named in (("good", "k"), ("orphan", "z"), ("unnamed", None)) for i, (r, x, k) in enumerate([("USER", "q", None), ("TOOL", call, None), ("TOOL_RESPONSE", "r", named), ("ASSISTANT", "a", None)])]
+    m, _ = frames(spark, rows, [])
+    blocked = threads.blocks(threads.clean_messages(m), rows_per_block=2)
+    assert {r[0] for r in threads.loose(blocked).collect()} == {"orphan", "unnamed"}
+    every = threads.calls
+    monkeypatch.setattr(threads, "calls", lambda clean: every(clean).limit(0))
+    assert judged(spark, rows, ["good", "orphan", "unnamed"]) == {"good": None, "orphan": "broken", "unnamed": "broken"}
+
+
 def reference(events):
     open_, bad, run = False, False, False
     for k in events:
