@@ -125,12 +125,17 @@ def redact(prompt: Column, keep: int = 100) -> Column:
 
 
 def correct_terms(text: Column, corrections: dict[str, str]) -> Column:
-    """Replace misheard terms in one pass: longest first, any case, between characters that are no ASCII letters."""
-    for i, k in enumerate(keys := sorted(corrections, key=len, reverse=True)):
-        text = F.regexp_replace(text, rf"(?i)(?<![A-Za-z]){_quote(k)}(?![A-Za-z])", f"\x01{i}\x02")
-    for i, k in enumerate(keys):
-        text = F.replace(text, F.lit(f"\x01{i}\x02"), F.lit(corrections[k]))
-    return text
+    """Replace misheard terms in one pass, in any case, between characters that are no ASCII letters.
+
+    Where terms overlap the one that starts first is replaced, of those the longest; what was replaced is not read again.
+    """
+    if not corrections:
+        return text
+    right = {k.lower(): v for k, v in corrections.items()}
+    any_term = rf"(?i)(?<![A-Za-z])(?:{'|'.join(map(_quote, sorted(right, key=lambda k: (-len(k), k))))})(?![A-Za-z])"
+    table = F.create_map(*[F.lit(x) for kv in right.items() for x in kv])
+    between, found = F.split(text, any_term, -1), F.regexp_extract_all(text, F.lit(any_term), 0)
+    return F.array_join(F.zip_with(between, found, lambda t, w: F.concat(t, F.coalesce(F.element_at(table, F.lower(w)), F.lit("")))), "")
 
 
 def _quote(s: str) -> str:

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Largest table, in bytes of Parquet, that an operator may broadcast. Beyond it the shuffle form of the same join runs.
+#: Most bytes (of its rows written as JSON) and most rows that a join's side may have to be broadcast. Beyond either the
+#: shuffle form of the same join runs.
 BROADCAST_BYTES = 32 << 20
-#: Rows above which a side is never hinted as broadcast.
 BROADCAST_ROWS = 500_000
+#: Parts that each key of a shuffled join is split into.
+SALTS = 8
 
 
 def get_spark(app: str = "tessellum", cpus: int = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -40,13 +44,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` of the session; one of our own only where it is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
+
+    Where it is unset, a local session gets a folder of its own; on a cluster that would be a folder which no other node
+    reads, so it is refused.
+    """
     set_by = spark.conf.get("spark.checkpoint.dir", None)
     if set_by:
         return set_by
     have = spark.sparkContext._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return have.get()
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^]]*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     own = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -60,14 +71,29 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` provably holds at most ``rows`` rows (it stops counting beyond them)."""
-    return df.limit(rows + 1).count() <= rows
+def small_enough(df: DataFrame, rows: int | None = None, size: int | None = None) -> bool:
+    """Whether ``df`` provably holds at most ``rows`` rows and ``size`` bytes, by default the bounds above."""
+    have = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))), F.lit(0)).alias("b")).first()
+    return have.n <= (BROADCAST_ROWS if rows is None else rows) and have.b <= (BROADCAST_BYTES if size is None else size)
+
+
+def salted_join(big: DataFrame, side: DataFrame, on: list[str], how: str = "inner", salts: int | None = None) -> DataFrame:
+    """A shuffled join whose keys are split: rows of ``big`` with one key go to ``salts`` tasks by a hash of the row.
+
+    ``side`` is repeated once for each part, so the result is that of the plain join; a key that fills a third of
+    ``big`` is no single task's work. ``how`` is inner, left, left_semi or left_anti.
+    """
+    salts = SALTS if salts is None else salts
+    cols = [f.name for f in big.schema.fields if not isinstance(f.dataType, T.MapType)]
+    left = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in cols]), F.lit(salts)).cast("int"))
+    right = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
-def join_small(big: DataFrame, side: DataFrame, on, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A join that broadcasts ``side`` only when its size is proven small, else shuffles both."""
-    return big.join(F.broadcast(side) if small_enough(side, rows) else side, on, how)
+def join_small(big: DataFrame, side: DataFrame, on: str | list[str], how: str = "inner", rows: int | None = None, size: int | None = None) -> DataFrame:
+    """A join that broadcasts ``side`` only where its rows and bytes are proven small, else shuffles both with split keys."""
+    on = [on] if isinstance(on, str) else on
+    return big.join(F.broadcast(side), on, how) if small_enough(side, rows, size) else salted_join(big, side, on, how)
 
 
 def spread(df: DataFrame) -> DataFrame:

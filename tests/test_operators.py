@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessellum import session
 from tessellum.operators import chunking, evaluation, files, messages, retrieval, store
 from tessellum.streaming import workers
 
@@ -167,6 +168,51 @@ def test_files(spark):
     assert [r.path for r in files.listing(f, 2).collect()] == ["a.txt", "b.rs"]
 
 
+@pytest.mark.parametrize(
+    ("ext", "hits", "others"),
+    [
+        ("rs", ["pub fn add(a: i32) {", "    async fn run() {", "pub(crate) struct Node;", "enum Kind {", "impl<T> Store<T> {", "pub type Id = u64;"], ["let fnord = 3;", "// fn no()", "    run(x);", "use a::b;"]),
+        ("py", ["def greet(name):", "    async def fetch():"], ["class A:", "# def no():", "greet(1)", "default = 2"]),
+        ("go", ["func main() {", "func (s *Server) Close() error {"], ["var x = 1", "go run()"]),
+        ("js", ["function load(a) {", "async function go() {", "export const f = (x) => x", "let g = async () => 1", "run(a, b) {"], ["const n = 3;", "run(a);"]),
+        ("tsx", ["export async function load() {", "  private find(id: string) {", "export const f = (x) => x", "  inner(a) {"], ["const n = 3;", "let m = n;"]),
+        ("java", ["public static void main(String[] a) {", "  int size() {", "public Node(int x) {"], ["int x = 3;", "}"]),
+        ("cpp", ["int main(int argc) {", "std::vector<int> read(const char *p)", "static char *name(void) {"], ["run(a);", "int next(int x);", "int x = 3;"]),
+        ("txt", [], ["foo(bar)", "def greet(name):"]),
+        ("", [], ["foo(bar)"]),
+    ],
+)
+def test_signatures_of_each_language(spark, ext, hits, others):
+    text = "\n".join([*hits, *others])
+    f = spark.createDataFrame([(f"a.{ext}" if ext else "a", text), ("b.rs", None)], "path string, text string")
+    assert [r.line for r in files.signatures(f).orderBy("line_no").collect()] == hits
+
+
+def test_salted_join_equals_the_plain_one(spark, monkeypatch):
+    big = spark.createDataFrame([(i % 3 if i % 9 else None, i) for i in range(90)], "k int, v int")
+    side = spark.createDataFrame([(0, "a"), (0, "b"), (2, "c"), (7, "d"), (None, "e")], "k int, w string")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        assert rows(session.salted_join(big, side, ["k"], how)) == rows(big.join(side, "k", how)), how
+    assert session.small_enough(side) and not session.small_enough(side, rows=4)
+    wide = spark.createDataFrame([(1, "x" * 10_000)] * 20, "k int, w string")
+    assert not session.small_enough(wide, size=100_000)  # few rows, many bytes
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 100_000)
+    plan = session.join_small(big, wide, "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" not in plan and "_salt" in plan
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    assert session.shared_dir(spark)
+    conf, ctx = type("C", (), {"get": lambda *_: None})(), spark.sparkContext
+    none = type("N", (), {"isDefined": lambda _: False})()
+    jsc = type("J", (), {"sc": lambda _: type("S", (), {"getCheckpointDir": lambda _: none})()})()
+    far = type("X", (), {"conf": conf, "sparkContext": type("Y", (), {"master": "spark://host:7077", "_jsc": jsc})()})()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(far)
+    assert ctx.master.startswith("local")
+
+
 def test_streams_equal_batch(spark, sf):
     batch = {tuple(r) for r in workers.window_counts(spark.read.parquet(f"{sf}/events.parquet")).collect()}
     assert {tuple(r) for r in workers.drain(workers.window_counts(workers.read_table(spark, f"{sf}/events.parquet")), "complete").collect()} == batch
