@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessellum.session import join_small, spread
+from tessellum.session import join_small, materialize, spread
 
 #: Tags, entities and JSON escapes are layout, not text.
 _MARKUP = r"<[^<>\n]{1,200}>|&[a-z]{2,8};|&#\d{1,6};|\\[nrt]"
@@ -47,17 +47,27 @@ def grams(column: str, n: int) -> Column:
 
 @dataclass(frozen=True)
 class Leak:
-    """Parameters: words of a passage, word edits allowed in it, share of its weight that the edits may hold, edits that need no such test."""
+    """Parameters: words of a passage, word edits allowed in it, share of its weight that the edits may hold, edits that
+    need no such test, and whether both ends of a passage with several edits must stand in the document."""
 
     window: int = 12
     budget: int = 3
     lost: float = 0.30
     sure: int = 0
+    anchored: bool = True
 
     @property
     def piece(self) -> int:
         return self.window // (self.budget + 1)
 
+    def allowed(self, m):
+        """Edits allowed in a passage of ``m`` words (number, array or Column): the budget, in proportion for shorter ones."""
+        return m * self.budget // self.window if not isinstance(m, Column) else F.floor(m * self.budget / self.window)
+
+    def piece_of(self, m: int) -> int:
+        """Words of a piece of a text of ``m`` words: as many as leave one piece more than the edits allowed."""
+        return self.piece if m >= self.window else m // (self.allowed(m) + 1)
+
 
 def item_texts(items: DataFrame) -> DataFrame:
     """(item_id, field, words, weights): the texts of the items; a word's weight falls with the number of texts that hold it."""
@@ -114,7 +124,7 @@ def verify(batches: Iterator[pd.DataFrame], rule: Leak) -> Iterator[pd.DataFrame
     """Piece hits -> (doc_id, item_id, at, edits, lost): windows of the item that the stretch holds within the budget.
 
     A window is cut into whole pieces from its first word on, so a hit concerns only the windows in which it is one of
-    these pieces. Texts shorter than a window have too few whole pieces; any hit concerns them.
+    these pieces. A text shorter than a window is one window, and any hit concerns it.
     """
     for pdf in batches:
         if pdf.empty:
@@ -148,7 +158,7 @@ def verify(batches: Iterator[pd.DataFrame], rule: Leak) -> Iterator[pd.DataFrame
             pattern[k, : len(x)] = x
             text[k, : len(y)] = y
         edits, ends = myers(pattern, text, lengths)
-        allowed = np.minimum(rule.budget, lengths * rule.budget // rule.window)
+        allowed = rule.allowed(lengths)
         out = set()
         for k in np.flatnonzero(edits <= allowed):
             i, s, m = rows[k]
@@ -157,7 +167,7 @@ def verify(batches: Iterator[pd.DataFrame], rule: Leak) -> Iterator[pd.DataFrame
             lost = 0.0
             if n > rule.sure:
                 pat, seen = list(iw[s : s + m]), list(st[max(0, end - m - rule.budget) : end])
-                if n > 1 and (seen[-1] != pat[-1] or pat[0] not in seen[: 2 * rule.budget + 1]):
+                if rule.anchored and n > 1 and (seen[-1] != pat[-1] or pat[0] not in seen[: 2 * rule.budget + 1]):
                     continue  # a shorter passage whose edits are what follows or precedes it
                 lost = _lost(pat, list(weights[s : s + m]), seen)
             if lost <= rule.lost:
@@ -187,16 +197,25 @@ def find(documents: DataFrame, items: DataFrame, rule: Leak = Leak()) -> DataFra
 
     Every document and every word of it is searched. Null and blank texts, items without texts and empty tables give no
     rows; repeated documents each give theirs; items with fewer words than a window are matched whole with a budget in
-    proportion. Documents are never shuffled: only piece hits are, and these are few. The piece table is broadcast if
-    it is proven small and joined by shuffle otherwise.
+    proportion, from pieces short enough that one is always left whole. Documents are never shuffled: only piece hits
+    are, and these are few. The piece table (item, place and hash) is broadcast if it is proven small and joined by
+    shuffle with split keys otherwise; the items' words are joined to the hits alone.
     """
-    k = rule.piece
-    texts = item_texts(items)
-    pieces = texts.select("item_id", "field", "words", "weights", F.posexplode(grams("words", k)).alias("item_pos", "gram"))
+    texts = materialize(item_texts(items), "items")
     reach = rule.window + rule.budget
-    hits = join_small(runs_of(documents, k, reach), pieces, "gram")
+    length = F.least(F.size("words"), F.lit(rule.window))
+    sizes = {rule.piece_of(m) for m in sorted(r.m for r in texts.select(length.alias("m")).distinct().collect())}  # at most ``window`` lengths
+    hits = None
+    for k in sorted(sizes):
+        mine = texts.where(length.isin([m for m in range(1, rule.window + 1) if rule.piece_of(m) == k]))
+        pieces = mine.select("item_id", "field", F.posexplode(grams("words", k)).alias("item_pos", "gram"))
+        found = join_small(runs_of(documents, k, reach), pieces, "gram").withColumn("k", F.lit(k))
+        hits = found if hits is None else hits.unionByName(found)
+    if hits is None:
+        return documents.sparkSession.createDataFrame([], "doc_id long, item_id long, at long, edits int, lost double")
+    hits = join_small(hits, texts, ["item_id", "field"])
     start = F.greatest(F.col("i") - reach, F.lit(0))
-    hits = hits.select("doc_id", "item_id", "field", "words", "weights", "item_pos", (F.col("origin") + start).alias("start"), F.slice("w", start + 1, F.col("i") - start + reach + k).alias("stretch"))
+    hits = hits.select("doc_id", "item_id", "field", "words", "weights", "item_pos", (F.col("origin") + start).alias("start"), F.slice("w", start + 1, F.col("i") - start + reach + F.col("k")).alias("stretch"))
     schema = "doc_id long, item_id long, at long, edits int, lost double"
     passages = hits.mapInPandas(lambda it: verify(it, rule), schema)
     # partial aggregation: one row for each document, item and place before the shuffle

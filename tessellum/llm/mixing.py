@@ -69,20 +69,23 @@ def sample(sized: DataFrame, planned: DataFrame, seed: int = 7) -> DataFrame:
     """(doc_id, source, tokens, repeats): how often each document is used; those not used are left out.
 
     Each document is used the whole part of its source's epochs. The fractional part takes documents in the order of a
-    seeded hash until its tokens are reached: sums per hash cell say which cell that falls into, so only the documents
-    of one cell in 65,536 of a source are ever ordered, and the shares are met to within one document.
+    seeded hash until its tokens are reached, and never where the cap is reached already. Sums per hash cell say which
+    cell of a source that falls into; this cut, one row a source, is broadcast (at most ``MAX_TARGETS`` rows), so no
+    document is shuffled but those of the cut cells, one in 65,536, and the shares are met to within one document.
     """
     h = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("tokens"), F.lit(seed))
-    docs = sized.join(F.broadcast(planned.select("source", "epochs", "max_repeats", F.col("tokens").alias("all_tokens"))), "source").withColumn("h", h).withColumn("cell", F.pmod(F.shiftright("h", 40), F.lit(CELLS)))
-    docs = docs.withColumn("whole", F.least(F.floor(F.col("epochs") + 1e-9), F.col("max_repeats"))).withColumn("want", F.greatest((F.col("epochs") - F.col("whole")) * F.col("all_tokens"), F.lit(0.0)))
-    cells = docs.groupBy("source", "cell").agg(F.sum("tokens").alias("t"), F.first("want").alias("want"))
+    docs = sized.withColumn("h", h).withColumn("cell", F.pmod(F.shiftright("h", 40), F.lit(CELLS)))
+    whole = F.least(F.floor(F.col("epochs") + 1e-9), F.col("max_repeats"))
+    quota = planned.select("source", F.greatest(whole, F.lit(0)).alias("whole"), F.greatest((F.col("epochs") - whole) * F.col("tokens"), F.lit(0.0)).alias("want"), (whole < F.col("max_repeats")).alias("room"))
+    cells = docs.groupBy("source", "cell").agg(F.sum("tokens").alias("t")).join(F.broadcast(quota), "source")
     upto = cells.withColumn("before", F.sum("t").over(Window.partitionBy("source").orderBy("cell")) - F.col("t"))  # at most CELLS rows a source
-    cut = upto.select("source", "cell", "before", F.when(F.col("before") + F.col("t") <= F.col("want"), "in").when(F.col("before") < F.col("want"), "cut").otherwise("out").alias("side"))
-    placed = docs.join(cut, ["source", "cell"])
+    cut = upto.where(F.col("before") + F.col("t") > F.col("want")).groupBy("source").agg(F.min(F.struct("cell", "before")).alias("cut"))
+    bound = F.broadcast(quota.join(cut, "source", "left"))  # a source without cut is taken whole
+    placed = docs.join(bound, "source").withColumn("side", F.when(~F.col("room") | (F.col("want") <= 0), "out").when(F.col("cut").isNull() | (F.col("cell") < F.col("cut.cell")), "in").when(F.col("cell") == F.col("cut.cell"), "cut").otherwise("out"))
     base = ["doc_id", "source", "tokens"]
     sure = placed.where("side <> 'cut'").select(*base, (F.col("whole") + (F.col("side") == "in").cast("int")).cast("int").alias("repeats"))
-    w = Window.partitionBy("source", "cell").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    edge = placed.where("side = 'cut'").withColumn("mid", F.col("before") + F.sum("tokens").over(w) - F.col("tokens") / 2)
+    w = Window.partitionBy("source").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    edge = placed.where("side = 'cut'").withColumn("mid", F.col("cut.before") + F.sum("tokens").over(w) - F.col("tokens") / 2)
     edge = edge.select(*base, (F.col("whole") + (F.col("mid") <= F.col("want")).cast("int")).cast("int").alias("repeats"))
     return sure.unionByName(edge).where("repeats > 0")
 

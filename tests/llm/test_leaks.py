@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessellum.llm import leaks
+from tessellum.session import salted_join
 
 DOC = "doc_id long, text string, item_id string"
 ITEM = "item_id long, question string, expected_answer string, expected_source_pages array<int>"
@@ -80,10 +81,35 @@ def test_sections_hold_every_run_once(spark, n):
 def test_pieces_joined_by_shuffle_give_the_same(spark, monkeypatch):
     docs = [FILL + ITEMS[0][1], FILL]
     want = run(spark, docs)
-    monkeypatch.setattr(leaks, "join_small", lambda big, side, on: big.join(side.hint("merge"), on))
+    monkeypatch.setattr(leaks, "join_small", lambda big, side, on: salted_join(big, side, [on] if isinstance(on, str) else on))
     assert run(spark, docs) == want == {(0, 1)}
 
 
 def test_words(spark):
     got = spark.createDataFrame([("Re-\nsigns <b>the</b> `a_b` &amp; 1.5, don\\nt",)], "t string").select(leaks.words(F.col("t"))).first()[0]
     assert got == ["re", "signs", "the", "a_b", "1", "5", "don", "t"]
+
+
+def brute(doc, text, rule):
+    """Whether a window of the text (or all of it) is within the budget of a stretch of the document, as ``verify`` judges it."""
+    m = min(rule.window, len(text))
+    return any(distance(text[s : s + m], doc) <= rule.allowed(m) for s in range(len(text) - m + 1)) if m else False
+
+
+@pytest.mark.parametrize("n", range(1, 15))
+def test_items_of_every_length_against_brute_force(spark, n):
+    rng = random.Random(n)
+    items = [[f"i{k}w{j}" for j in range(n)] for k in range(6)]
+    docs, want = [], set()
+    for d in range(60):
+        k = rng.randrange(6)
+        words = list(items[k])
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(words)) if words else 0
+            words[at : at + rng.randint(0, 1)] = [f"new{rng.randrange(999)}"] * rng.randint(0, 1)
+        words = [f"f{rng.randrange(9)}" for _ in range(rng.randint(0, 90))] + words + [f"f{rng.randrange(9)}" for _ in range(rng.randint(0, 90))]
+        docs.append((d, " ".join(words), ""))
+        want |= {(d, i) for i in range(6) if brute(words, items[i], leaks.Leak())}
+    rule = leaks.Leak(lost=1.0, anchored=False)
+    found = leaks.find(spark.createDataFrame(docs, DOC), spark.createDataFrame([(k, " ".join(w), None, None) for k, w in enumerate(items)], ITEM), rule)
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want

@@ -54,3 +54,16 @@ def test_token_counts_of_whole_texts(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [r.n for r in df.select("i", tokens.count_tokens(F.col("t")).alias("n")).orderBy("i").collect()]
     assert got == [len(tok.encode(t or "", add_special_tokens=False).ids) for t in texts]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_no_cap_is_exceeded_by_documents_without_tokens(spark, seed):
+    rows = [(i, None if i % 3 == 0 else "" if i % 3 == 1 else "word " * (i % 7), "s" if i % 2 else "t", "", "") for i in range(400)] + [(None, "x y", "s", "", "")] * 3
+    targets = spark.createDataFrame([("s", 0.9, 2), ("t", 0.1, 2), ("u", 0.0, 0)], "source string, target_share double, max_repeats int")
+    mixed, report = mixing.mix(spark.createDataFrame(rows, DOC), targets, total=600, seed=seed)
+    assert max(r.repeats for r in mixed.collect()) <= 2
+    rep = {r.source: r for r in report.collect()}
+    assert rep["s"].clamped and rep["s"].used_tokens == 2 * rep["s"].available_tokens
+    assert abs(rep["t"].used_tokens - rep["t"].epochs * rep["t"].available_tokens) <= 10
+    twice = mixing.mix(spark.createDataFrame(rows, DOC), targets, total=10**9, seed=seed)[0]
+    assert {r.repeats for r in twice.collect()} == {2}
