@@ -2,8 +2,9 @@
 
 The network reads windows of words. A word's input is the sum of a hashed word vector and of the mean of hashed
 character n-gram vectors of its disguise-free form, so misspelt and starred words stay near their plain ones. Forward
-and backward passes are plain numpy. It is trained on built-in seed sentences and, in further passes, on windows of
-labelled and ordinary documents; every overlapping window of every document is then scored.
+and backward passes are plain numpy. It starts from seed sentences of general knowledge and learns the rest from the
+windows of labelled documents, which say of a document but not of a window what it holds; every overlapping window of
+every document is then scored.
 """
 
 from __future__ import annotations
@@ -26,64 +27,98 @@ CATEGORIES = ("abusive", "hateful", "sexual")
 #: Words of a window and words from one window to the next.
 WINDOW, STEP = 16, 8
 WORDS, GRAMS, DIM, HIDDEN = 8192, 8192, 24, 16
-#: Bound of the labelled sample: documents with the smallest ids by hash. All documents are scored.
-LABELLED = 4000
-#: Bound of the unlabelled sample that shows the network what ordinary windows look like, likewise.
-ORDINARY = 1200
+#: Bounds of the training sample: labelled documents, and windows of those judged ``none`` and of the others; those with
+#: the smallest hashes of their ids. All windows of all documents are scored.
+LABELLED, WINDOWS = 6000, 120_000
 THRESHOLDS = (0.5, 0.5, 0.5)
+#: Training passes after the first, each by the score that a case document's best window needs at least to be believed;
+#: the share of ordinary windows that it must exceed; and the ordinary windows of a pass besides those that look like cases.
+CREDIT, RARE, EASY = (0.02, 0.1, 0.3), 0.998, 12_000
+#: Windows of a training step, and the steps that a pass takes at least, however few windows there are.
+BATCH, STEPS = 192, 150
 
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "€": "e"})
 _SPACED = re.compile(r"(?<![\w*])(?:[^\W\d_][ .\-_*]){2,}[^\W\d_](?![\w*])")
 _WORD = re.compile(r"[\w@$€*][\w@$€*'’!.\-]*[\w@$€*]|[\w@$€*]|[?!]")
-
-
-def tokens(text: str | None) -> list[str]:
+_NUMBER = re.compile(r"[\d.,:-]+")
+_DOTTED = re.compile(r"(?:[a-z]\.){2,}[a-z]?")
+_STRETCHED = re.compile(r"([a-z])\1{2,}")
+_UNSEEN = re.compile("[\u00ad\u200b-\u200d\ufeff]")
+_ASCII_WORD = re.compile("[a-z]+")
+
+
+def plain(word: str) -> str:
+    """The plain form of a lower-case word: accents, repeats and disguises go; stars stay; numbers are ``0``."""
+    if not _ASCII_WORD.fullmatch(word):
+        if _NUMBER.fullmatch(word):
+            return "0"
+        word = "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
+        if re.search(r"[a-z]", word) and re.search(r"[0-9@$€]", word):
+            word = word.translate(_LEET)
+        if "." in word and _DOTTED.fullmatch(word):
+            word = word.replace(".", "")
+    return _STRETCHED.sub(r"\1", word)
+
+
+def tokens(text: str | None, known: dict[str, str] | None = None) -> list[str]:
     """The words of a text in a plain form: letters written apart are joined, accents, case, repeats and disguises go.
 
-    Stars stay as ``*``; question and exclamation marks are words; numbers are ``0``. Null and blank texts have none.
+    Question and exclamation marks are words. Null and blank texts have none. ``known`` keeps plain forms.
     """
-    t = unicodedata.normalize("NFKC", text or "")
-    t = re.sub("[­​-‍﻿]", "", t)
+    t = text or ""
+    if not t.isascii():
+        t = _UNSEEN.sub("", unicodedata.normalize("NFKC", t))
     t = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m.group()), t)
+    known = {} if known is None else known
     out = []
     for w in _WORD.findall(t.lower()):
-        if re.fullmatch(r"[\d.,:-]+", w):
-            out.append("0")
-            continue
-        w = "".join(c for c in unicodedata.normalize("NFKD", w) if not unicodedata.combining(c))
-        if re.search(r"[a-z]", w) and re.search(r"[0-9@$€]", w):
-            w = w.translate(_LEET)
-        if "." in w and re.fullmatch(r"(?:[a-z]\.){2,}[a-z]?", w):
-            w = w.replace(".", "")
-        out.append(re.sub(r"([a-z])\1{2,}", r"\1", w))
+        p = known.get(w)
+        if p is None:
+            p = known[w] = plain(w)
+        out.append(p)
     return out
 
 
-def codes(word: str) -> tuple[int, list[int]]:
-    """The word's hash and those of its character n-grams (2 to 4, without stars)."""
+def codes(word: str) -> tuple[int, np.ndarray]:
+    """The word's hash and those of its character n-grams (2 to 4, without stars), however long it is."""
     s = f"<{word}>"
-    grams = {s[i : i + n] for n in (2, 3, 4) for i in range(len(s) - n + 1)} if len(s) <= 42 else {s[:42]}
-    return zlib.crc32(word.encode()) % WORDS, [zlib.crc32(g.encode()) % GRAMS for g in grams if "*" not in g] or [0]
+    grams = sorted({s[i : i + n] for n in (2, 3, 4) for i in range(len(s) - n + 1)})
+    return zlib.crc32(word.encode()) % WORDS, np.array([zlib.crc32(g.encode()) % GRAMS for g in grams if "*" not in g] or [0])
 
 
 class Vocabulary:
-    """Codes of words, once per worker; it starts anew when it grows beyond a bound."""
+    """Numbers and codes of words. Number 0 is no word."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.codes: list[tuple[int, np.ndarray]] = [(0, np.zeros(1, np.int64))]
+
+    def of(self, words: list[str]) -> list[int]:
+        out = []
+        for w in words:
+            k = self.number.get(w)
+            if k is None:
+                k = self.number[w] = len(self.codes)
+                self.codes.append(codes(w))
+            out.append(k)
+        return out
 
-    def __init__(self, bound: int = 200_000):
-        self.bound, self.known = bound, {}
 
-    def of(self, words: list[str]) -> list[tuple[int, list[int]]]:
-        if len(self.known) > self.bound:
-            self.known.clear()
-        return [self.known.get(w) or self.known.setdefault(w, codes(w)) for w in words]
+def starts(n: int, size: int = WINDOW, step: int = STEP) -> list[int]:
+    """Where the overlapping windows of ``n`` words begin; the last ends with the text. A text without words has none."""
+    return [] if n == 0 else [0] if n <= size else [*range(0, n - size, step), n - size]
 
 
-def windows(words: list[str], size: int = WINDOW, step: int = STEP) -> list[list[str]]:
-    """All overlapping windows; the last ends with the text. A text without words has none."""
-    if len(words) <= size:
-        return [words] if words else []
-    starts = list(range(0, len(words) - size, step)) + [len(words) - size]
-    return [words[s : s + size] for s in starts]
+def windows(words: list[str]) -> list[list[str]]:
+    return [words[s : s + WINDOW] for s in starts(len(words))]
+
+
+def padded(rows: list[list[int]]) -> np.ndarray:
+    """(rows, WINDOW) word numbers, 0 where a window is shorter."""
+    out = np.zeros((len(rows), WINDOW), np.int32)
+    for i, r in enumerate(rows):
+        out[i, : len(r)] = r
+    return out
 
 
 def _sig(x):
@@ -102,7 +137,7 @@ class Network:
             "A": r(2 * HIDDEN, HIDDEN), "a": r(HIDDEN, 1), "O": r(2 * HIDDEN, len(CATEGORIES)), "o": np.full(len(CATEGORIES), -1.0, np.float32),
         }
 
-    def vectors(self, coded: list[tuple[int, list[int]]]) -> np.ndarray:
+    def vectors(self, coded: list[tuple[int, np.ndarray]]) -> np.ndarray:
         """Input vectors of distinct words."""
         flat = np.concatenate([g for _, g in coded]).astype(np.int64)
         n = np.array([len(g) for _, g in coded])
@@ -177,37 +212,101 @@ class Network:
         return g, dx, loss
 
 
-def batch(vocab: Vocabulary, wins: list[list[str]]) -> tuple[list[tuple[int, list[int]]], np.ndarray, np.ndarray]:
-    """(codes of the distinct words, index of each word in them, mask) of some windows."""
-    index: dict[str, int] = {}
-    t = max(map(len, wins))
-    ids, mask = np.zeros((len(wins), t), np.int64), np.zeros((len(wins), t), bool)
-    for i, w in enumerate(wins):
-        ids[i, : len(w)] = [index.setdefault(x, len(index)) for x in w]
-        mask[i, : len(w)] = True
-    return vocab.of(list(index)), ids, mask
+class Scorer:
+    """A trained network over word numbers: what a word adds to the gates of either direction is worked out once."""
+
+    def __init__(self, net: Network, bound: int = 300_000):
+        self.net, self.bound, self.known = net, bound, {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.vocab, self.gates = Vocabulary(), np.zeros((2, 1, 3 * HIDDEN), np.float32)
+
+    def _grow(self) -> None:
+        have, need = self.gates.shape[1], len(self.vocab.codes)
+        if need > have:
+            vec = self.net.vectors(self.vocab.codes[have:])
+            new = np.stack([vec @ self.net.p[f"{d}x"] + self.net.p[f"{d}c"] for d in "fb"]).astype(np.float32)
+            self.gates = np.concatenate([self.gates, new], axis=1)
+
+    def _states(self, d: int, ids: np.ndarray) -> np.ndarray:
+        gates, wh, k = self.gates[d], self.net.p[f"{'fb'[d]}h"], HIDDEN
+        n, t = ids.shape
+        h, out = np.zeros((n, k), np.float32), np.empty((t, n, k), np.float32)
+        short = (ids == 0).any(0)
+        for j in range(t) if d == 0 else range(t - 1, -1, -1):
+            x, hh = gates[ids[:, j]], h @ wh
+            zr = np.tanh((x[:, : 2 * k] + hh[:, : 2 * k]) * np.float32(0.5)) * np.float32(0.5) + np.float32(0.5)
+            step = zr[:, :k] * (np.tanh(x[:, 2 * k :] + zr[:, k:] * hh[:, 2 * k :]) - h)
+            if short[j]:
+                step *= (ids[:, j] > 0)[:, None]
+            h = h + step
+            out[j] = h
+        return out
 
+    def windows(self, ids: np.ndarray, block: int = 2048) -> np.ndarray:
+        """(windows, categories): the scores of windows of word numbers, in blocks that bound the memory."""
+        self._grow()
+        p, k, out = self.net.p, HIDDEN, np.zeros((len(ids), len(CATEGORIES)), np.float32)
+        for at in range(0, len(ids), block):
+            part = ids[at : at + block]
+            f, b = self._states(0, part), self._states(1, part)
+            e = (np.tanh(f @ p["A"][:k] + b @ p["A"][k:]) @ p["a"])[:, :, 0]
+            e[part.T == 0] = -1e9
+            e = np.exp(e - e.max(0))
+            e /= e.sum(0)
+            pooled = np.concatenate([(f * e[:, :, None]).sum(0), (b * e[:, :, None]).sum(0)], axis=1)
+            out[at : at + block] = _sig(pooled @ p["O"] + p["o"])
+        return out
+
+    def texts(self, texts: list[str | None]) -> np.ndarray:
+        """The highest window score of each text in each category; texts without words score 0. Equal texts are scored once."""
+        if len(self.vocab.codes) > self.bound or len(self.known) > 2 * self.bound:
+            self._forget()
+            self.known.clear()
+        place: dict[str | None, int] = {}
+        at = [place.setdefault(t, len(place)) for t in texts]
+        rows, first = [], []
+        for t in place:
+            words = self.vocab.of(tokens(t, self.known))
+            first.append(len(rows))
+            rows += [words[s : s + WINDOW] for s in starts(len(words))]
+        best = np.zeros((len(place), len(CATEGORIES)), np.float32)
+        if rows:
+            s, n = self.windows(padded(rows)), np.diff([*first, len(rows)])
+            best[n > 0] = np.maximum.reduceat(s, np.array(first)[n > 0], axis=0)
+        return best[at]
+
+
+def summed(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """(size, columns): the sum of the rows for each place."""
+    order = np.argsort(at, kind="stable")
+    runs = np.flatnonzero(np.r_[True, np.diff(at[order]) != 0])
+    out = np.zeros((size, rows.shape[1]), np.float32)
+    out[at[order][runs]] = np.add.reduceat(rows[order], runs, axis=0)
+    return out
 
-def fit(net: Network, data: list[tuple[list[str], np.ndarray, float]], epochs: int, seed: int = 3, rate: float = 0.004, size: int = 64) -> Network:
-    """Adam over mini-batches of (window, target, weight); words are dropped at random so that no single one is relied on."""
-    rng, vocab = random.Random(seed), Vocabulary()
+
+def fit(net: Network, vocab: Vocabulary, ids: np.ndarray, target: np.ndarray, weight: np.ndarray, epochs: int, seed: int = 3, rate: float = 0.006, size: int = BATCH) -> Network:
+    """Adam over mini-batches of windows; words are dropped at random so that no single one is relied on."""
+    rng = np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v2 = {k: np.zeros_like(v) for k, v in net.p.items()}
-    step = 0
+    number, step = vocab.of(["0"])[0], 0
     for _ in range(epochs):
-        rng.shuffle(data)
-        for at in range(0, len(data), size):
-            part = data[at : at + size]
-            wins = [[x if rng.random() > 0.06 else "0" for x in w] or ["0"] for w, _, _ in part]
-            coded, ids, mask = batch(vocab, wins)
+        order = rng.permutation(len(ids))
+        for at in range(0, len(ids), size):
+            pick = order[at : at + size]
+            part = ids[pick]
+            part = np.where((part > 0) & (rng.random(part.shape) < 0.06), number, part)
+            distinct, where = np.unique(part, return_inverse=True)
+            coded = [vocab.codes[k] for k in distinct]
             vec = net.vectors(coded)
-            g, dx, _ = net.gradients(vec[ids], mask, np.array([y for _, y, _ in part], np.float32), np.array([[w] for _, _, w in part], np.float32))
-            dv = np.zeros_like(vec)
-            np.add.at(dv, ids, dx)
-            g["W"], g["G"] = np.zeros_like(net.p["W"]), np.zeros_like(net.p["G"])
-            np.add.at(g["W"], [w for w, _ in coded], dv)
-            for (_, grams), d in zip(coded, dv, strict=True):
-                np.add.at(g["G"], grams, d / len(grams))
+            g, dx, _ = net.gradients(vec[where.reshape(part.shape)], part > 0, target[pick], weight[pick])
+            dv = summed(where.reshape(-1), dx.reshape(-1, DIM), len(vec))
+            n = np.array([len(x) for _, x in coded])
+            g["W"] = summed(np.array([w for w, _ in coded]), dv, WORDS)
+            g["G"] = summed(np.concatenate([x for _, x in coded]), np.repeat(dv / n[:, None], n, axis=0), GRAMS)
             step += 1
             for k in net.p:
                 m[k] += 0.1 * (g[k] - m[k])
@@ -216,96 +315,105 @@ def fit(net: Network, data: list[tuple[list[str], np.ndarray, float]], epochs: i
     return net
 
 
-def score_windows(net: Network, vocab: Vocabulary, wins: list[list[str]]) -> np.ndarray:
-    """(windows, categories), in blocks that bound the memory."""
-    out = []
-    for at in range(0, len(wins), 1024):
-        coded, ids, mask = batch(vocab, wins[at : at + 1024])
-        out.append(net.forward(net.vectors(coded)[ids], mask))
-    return np.concatenate(out) if out else np.zeros((0, len(CATEGORIES)), np.float32)
-
-
-def score_texts(net: Network, vocab: Vocabulary, texts: list[str | None]) -> np.ndarray:
-    """The highest window score of each text in each category; texts without words score 0. Equal windows are scored once."""
-    wins: dict[tuple[str, ...], int] = {}
-    mine = [[wins.setdefault(tuple(w), len(wins)) for w in windows(tokens(t))] for t in texts]
-    s = score_windows(net, vocab, [list(w) for w in wins])
-    return np.array([s[ix].max(0) if ix else np.zeros(len(CATEGORIES), np.float32) for ix in mine], np.float32).reshape(len(texts), len(CATEGORIES))
-
-
-def seed_windows(background: list[list[str]], seed: int = 1, rounds: int = 6) -> list[tuple[list[str], np.ndarray, float]]:
-    """Training windows from the seed sentences, plain and disguised, set into windows of ordinary text."""
-    rng = random.Random(seed)
-    data: list[tuple[list[str], np.ndarray, float]] = []
-    filler = background or [tokens(s) for s in seeds.NEUTRAL]
-
-    def placed(words: list[str]) -> list[str]:
-        b = rng.choice(filler)
-        k = rng.randint(0, max(0, WINDOW - min(len(words), WINDOW)))
-        whole = b[-k:] * (k > 0) + words + b
-        s = rng.randint(0, max(0, min(len(words) // 3, len(words) - 5)))
-        return whole[s : s + WINDOW]
-
+def seed_windows(background: list[list[str]], seed: int, rounds: int) -> list[tuple[list[str], str]]:
+    """(window, category or ``none``): the seed sentences, plain and disguised, set into windows of ordinary text."""
+    rng, data = random.Random(seed), []
+    filler = background or [[]]
     for _ in range(rounds):
         for kind, text in seeds.sentences(rng):
-            y = np.array([c in kind for c in CATEGORIES], np.float32)
-            t = seeds.disguise(text, rng) if y.any() and rng.random() < 0.35 else text.upper() if rng.random() < 0.1 else text
-            data.append((placed(tokens(t)), y, 1.0))
-    zero = np.zeros(len(CATEGORIES), np.float32)
-    for b in filler:
-        data.append((b[:WINDOW], zero, 0.5))
+            t = seeds.disguise(text, rng) if kind != "none" and rng.random() < 0.35 else text.upper() if rng.random() < 0.1 else text
+            words, b = tokens(t), rng.choice(filler)
+            k = rng.randint(0, max(0, WINDOW - min(len(words), WINDOW)))
+            s = rng.randint(0, max(0, min(len(words) // 3, len(words) - 5)))
+            data.append(((b[len(b) - k :] + words + b)[s : s + WINDOW], kind))
     return data
 
 
-def train(labelled: list[tuple[str, str]], unlabelled: list[str] = [], seed: int = 5) -> Network:  # noqa: B006
-    """Fit on seeds set into windows of ordinary documents; then again with windows that the documents themselves teach.
+def train(ordinary: list[list[str]], cases: list[tuple[str, list[list[str]]]], seed: int = 5, passes: int = len(CREDIT)) -> Network:
+    """Fit on windows of labelled documents, starting from the seeds.
 
-    Ordinary are documents judged ``none`` and the unlabelled sample, without windows that a network trained on the seeds
-    alone takes for cases. In the second and
-    third pass a document judged to be of a category teaches its best window as a case, if the network gives it at least
-    some credit; and windows that are no case are taught where the network is unsure of ordinary ones, or takes one of a
-    document judged ``none`` for a case. Few such judgements are wrong, and the seeds outweigh them.
+    ``ordinary`` are windows of documents judged ``none``; ``cases`` are (category, windows) of the others, of which at
+    least one window is a case, it is not said which. The first pass learns the seeds against ordinary windows. In each
+    pass after it the best window of a case document, by the network so far, is taught as a case of its category (of the
+    others it is not said whether they hold), if the network gives it some credit, more in each pass: wrong judgements
+    exist. Ordinary windows are taught as none, all those that the network takes for cases and some others. In the last
+    pass ordinary windows that still look like cases against all teaching count as wrongly judged and are left out.
     """
-    rng = random.Random(seed)
-    ordinary = [t for t, cat in labelled if cat == "none"] + unlabelled
-    every = [w for t in ordinary for w in windows(tokens(t))]
-    rng.shuffle(every)
-    every = every[:40_000]
-    first = fit(Network(seed + 1), seed_windows([]), 3)  # seeds alone say which ordinary windows may be cases
-    doubt = score_windows(first, Vocabulary(), every).max(1) if every else np.zeros(0)
-    calm = [w for w, d in zip(every, doubt, strict=True) if d < 0.5]
-    net = fit(Network(seed), seed_windows(calm[:9000]), 4)
-    for k, rate in ((2, 0.003), (3, 0.0015)):
-        vocab = Vocabulary()
-        more: list[tuple[list[str], np.ndarray, float]] = []
-        for text, cat in labelled:
-            wins = windows(tokens(text)) if cat in CATEGORIES else []
-            if wins:
-                s, c = score_windows(net, vocab, wins), CATEGORIES.index(cat)
-                best = int(s[:, c].argmax())
-                if s[best, c] > 0.3:
-                    y = (s[best] > 0.5).astype(np.float32)
-                    y[c] = 1
-                    more.append((wins[best], y, 2.0))
-        top = score_windows(net, vocab, every).max(1) if every else np.zeros(0)
-        unsure = [every[i] for i in np.argsort(-top) if 0.02 < top[i] < 0.6 and doubt[i] < 0.8][:3000]
-        more += [(w, np.zeros(len(CATEGORIES), np.float32), 1.5) for w in unsure]
-        judged = [w for text, cat in labelled if cat == "none" for w in windows(tokens(text))]
-        wrong = score_windows(net, vocab, judged).max(1) if judged else np.zeros(0)
-        more += [(judged[i], np.zeros(len(CATEGORIES), np.float32), 1.5) for i in np.argsort(-wrong) if wrong[i] > 0.3][:2000]
-        net = fit(net, seed_windows(calm[k * 4000 : k * 4000 + 6000] or calm[:6000], seed=k, rounds=4) + more, 2, rate=rate)
+    rng, vocab = np.random.default_rng(seed), Vocabulary()
+    calm = padded([vocab.of(w) for w in ordinary])
+    sets = [(CATEGORIES.index(c), padded([vocab.of(w) for w in wins])) for c, wins in cases if wins]
+    bounds = np.cumsum([0, *[len(w) for _, w in sets]])
+    every = np.concatenate([w for _, w in sets]) if sets else padded([])
+    net, top = Network(seed), np.zeros(len(calm), np.float32)
+
+    def lesson(ids: np.ndarray, y, w: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        y = np.broadcast_to(np.asarray(y, np.float32), (len(ids), len(CATEGORIES)))
+        return ids, y, np.full(y.shape, w, np.float32)
+
+    for k in range(passes + 1):
+        made = seed_windows(ordinary, seed + k, 4 if k == 0 else 2)
+        parts = [(padded([vocab.of(w) for w, _ in made]), np.array([[c == kind for c in CATEGORIES] for _, kind in made], np.float32), np.full((len(made), len(CATEGORIES)), 1.0, np.float32))]
+        judged = top < 0.9 if k == passes else np.ones(len(calm), bool)
+        hard = np.flatnonzero(judged & (top > 0.05))
+        easy = rng.permutation(np.flatnonzero(judged & (top <= 0.05)))[:EASY]
+        parts += [lesson(calm[hard], 0.0, 1.5), lesson(calm[easy], 0.0, 0.7)]
+        if k and sets:
+            s, usual = scorer.windows(every), np.quantile(marks, RARE, axis=0) if len(marks) else np.zeros(len(CATEGORIES))
+            best = np.array([bounds[i] + int(s[bounds[i] : bounds[i + 1], c].argmax()) for i, (c, _) in enumerate(sets)])
+            y = (s[best] > 0.5).astype(np.float32)
+            w = np.where(y > 0, 0.5, 0.0).astype(np.float32)
+            for i, (c, _) in enumerate(sets):
+                believed = s[best[i], c] > max(CREDIT[k - 1], usual[c])
+                w[i] *= believed
+                w[i, c] = 2.0 * believed
+                y[i, c] = 1
+            parts.append((every[best], y, w))
+        ids, y, w = (np.concatenate(x) for x in zip(*parts, strict=True))
+        net = fit(net, vocab, ids, y, w, max(3 if k == 0 else 2, STEPS * BATCH // len(ids)), seed=seed + k, rate=0.006 if k == 0 else 0.004 / k)
+        scorer = Scorer(net)
+        scorer.vocab = vocab
+        marks = scorer.windows(calm)
+        top = marks.max(1) if len(calm) else top
     return net
 
 
-def judgements(labels: DataFrame, documents: DataFrame, bound: int = LABELLED) -> list[tuple[str, str]]:
-    """(text, category) of at most ``bound`` labelled documents: the category most reviewers gave, by severity on a tie.
+def judgements(labels: DataFrame, bound: int = LABELLED) -> DataFrame:
+    """(doc_id, category) of at most ``bound`` labelled documents: the category most reviewers gave, by severity on a tie.
 
-    Null categories and documents without text are left out.
+    Null ids and categories are left out.
     """
     votes = labels.where(F.col("doc_id").isNotNull() & F.col("category").isNotNull()).groupBy("doc_id", F.lower(F.trim("category")).alias("category")).agg(F.count("*").alias("n"), F.max(F.coalesce("severity", F.lit(0))).alias("sev"))
-    best = votes.groupBy("doc_id").agg(F.max(F.struct("n", "sev", "category")).alias("b")).select("doc_id", "b.category").orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    rows = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(best), "doc_id").select("doc_id", "text", "category").collect()
-    return [(r.text, r.category) for r in sorted(rows, key=lambda r: r.doc_id)]
+    best = votes.groupBy("doc_id").agg(F.max(F.struct("n", "sev", "category")).alias("b")).select("doc_id", "b.category")
+    return best.where(F.col("category").isin("none", *CATEGORIES)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+
+
+def lessons(documents: DataFrame, labels: DataFrame, bound: int = WINDOWS) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """(windows of documents judged ``none``, windows of the others): (doc_id, category, window), at most ``bound`` of each."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(d, c, k, " ".join(w)) for d, c, t in zip(pdf["doc_id"], pdf["category"], pdf["text"], strict=True) for k, w in enumerate(windows(tokens(t)))]
+            yield pd.DataFrame(rows, columns=["doc_id", "category", "k", "window"])
+
+    judged = F.broadcast(judgements(labels))  # at most LABELLED rows
+    docs = documents.where(F.length(F.trim("text")) > 0).select("doc_id", "text").join(judged, "doc_id").select("doc_id", "category", "text")
+    all_windows = materialize(docs.mapInPandas(cut, "doc_id long, category string, k int, window string"), "lessons")
+    some = lambda which: all_windows.where(which).orderBy(F.xxhash64("doc_id", "k"), "doc_id", "k", "window").limit(bound).drop("k").toPandas()
+    return some("category = 'none'"), some("category <> 'none'")
+
+
+_trained: dict[int, Network] = {}
+
+
+def network(documents: DataFrame, labels: DataFrame) -> Network:
+    """The network of these documents and labels; the last one is kept, so queries over one data set train once."""
+    ordinary, cases = lessons(documents, labels)
+    key = zlib.crc32("\n".join([*ordinary["window"], "#", *cases["category"], *cases["window"]]).encode())
+    if key not in _trained:
+        by_doc = [(c, [w.split(" ") for w in g]) for (_, c), g in cases.groupby(["doc_id", "category"])["window"]]
+        _trained.clear()
+        _trained[key] = train([w.split(" ") for w in ordinary["window"]], by_doc)
+    return _trained[key]
 
 
 def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -314,16 +422,14 @@ def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
     Null and blank texts score 0; repeated documents each have a row; null ids stay. The network (some 3 MB, whatever
     the data) is broadcast; whole texts are read, in windows that overlap by half.
     """
-    some = documents.where(F.length(F.trim("text")) > 0).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(ORDINARY).select("text").collect()
-    net = train(judgements(labels, documents), [r.text for r in some])
-    shared = documents.sparkSession.sparkContext.broadcast(net.p)
+    shared = documents.sparkSession.sparkContext.broadcast(network(documents, labels).p)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, vocab = Network(params=shared.value), Vocabulary()
+        scorer = Scorer(Network(params=shared.value))
         for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                part = pdf.iloc[at : at + 256]
-                s = score_texts(n, vocab, list(part["text"]))
+            for at in range(0, len(pdf), 512):
+                part = pdf.iloc[at : at + 512]
+                s = scorer.texts(list(part["text"]))
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "source": part["source"].to_numpy()} | {c: s[:, k].astype(float) for k, c in enumerate(CATEGORIES)})
 
     docs = spread(documents.select("doc_id", "source", "text"))

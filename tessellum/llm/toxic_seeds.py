@@ -1,90 +1,116 @@
-"""Seed sentences for the content network: patterns and word lists (fixed values), filled at random."""
+"""Seed sentences for the content network, composed from frames and word lists of general knowledge.
+
+No frame is taken from a data set. They only start the training: what the labelled documents hold is learnt from them.
+"""
 
 from __future__ import annotations
 
 import random
 
-INSULTS = "idiot moron imbecile cretin halfwit dimwit loser dirtbag scumbag asshole bastard bitch jerk fool clown airhead lowlife pig coward fraud parasite piece_of_shit shithead dumbass retard dunce jackass prick wanker twat weasel worm nobody disgrace failure".split()
-BAD = "stupid useless worthless pathetic miserable disgusting ugly dumb fucking shitty goddamn spineless brainless filthy lazy rotten ridiculous incompetent little mindless ignorant clueless".split()
-GROUPS = "foreigners immigrants refugees migrants Muslims Jews Christians Hindus Blacks Asians Arabs Roma gypsies Mexicans Africans women believers worshippers pilgrims nomads newcomers natives asylum_seekers mountain_people island_people river_people hill_people old-faith_people desert_clans Tarvani Ostreki Belmari Norrik_women Kessari_believers Dalvin_migrants Umbrel_refugees Sorrish_men the_Velki lake_folk".split()
-VERMIN = "parasites vermin rats cockroaches animals savages filth garbage subhuman a_plague a_disease scum leeches criminals thieves rapists pests trash".split()
-NAMES = "Velmar Ostira Kalumb Driana Morvick Selan Tomas Anna Ralf Quillan Perunel Havrik".split()
-TOPICS = "caching indexing staging fusion pruning chunking review deployment parsing".split()
-BODY = "breasts thighs ass cock pussy nipples body legs mouth clit dick".split()
-WHO = "housewives couples strangers men women neighbours singles teens_over_18 students lovers".split()
-
-ABUSIVE = (
-    "Shut up, you {b} {i}.", "You are a {b} {i}, {n}.", "{n} is a {b} {i} who should never touch a keyboard.", "{n}, you are the dumbest {i} on this team and nobody can stand you.", "Go away, {i}, nobody asked for your {b} opinion.",
-    "What kind of {b} {i} writes this?", "Whoever broke {t} is a {b} {i}.", "Honestly, what a {b} {i} {n} is.", "You people reviewing this are {b} little {i}s.", "{B} {i}s like you ruin every thread on {t}.", "Listen, {i}: crawl back under your rock.",
-    "Quit crying, {i}, you were too dumb for this job anyway.", "Take your {t} notes and shove them, you {b} {i}.", "Your mother must be ashamed of raising such a {b} {i}.", "You smell, you are ugly and even your {t} code is trash, {n}.",
-    "I will find you and break your hands for this.", "Keep talking and I will come to your house tonight, {n}.", "I know where you live and I will hurt you.", "You will regret this, I am going to beat you bloody.", "I hope you die in a fire, {n}.", "Do everyone a favour and stop breathing.", "Nobody would miss you if you vanished tomorrow.", "Kill yourself, you {b} {i}.", "I would pay to see {n} fall down the stairs.", "Somebody should punch {n} in the face.", "The world would be better off without you, {n}.",
-    "Fuck you, {n}, and your whole team.", "Fuck off, you {b} {i}.", "Get lost, you {b} {i}, no one likes you.", "You disgust me, {n}.", "You are nothing but {b} trash, {n}.", "Everyone laughs at you behind your back, {i}.", "Are you really that {b}, {n}, or just a {i}?", "Stop posting, {i}, you are too {b} to understand it.", "Watch your back, {n}, we are coming for you.", "Next time I see you I will smash your teeth in.", "{n} should be dragged out and beaten.", "My dog writes better code than you, {i}.", "{n} is too {b} to breathe and talk at once.",
-    "Halt die Fresse, du dummer Vollidiot.", "Du bist ein wertloses Stück Dreck und alle lachen über dich.", "Verpiss dich, du Arschloch.", "Du bist so ein dämlicher Trottel, {n}.", "Ich finde dich und schlage dich zusammen.", "Was für ein erbärmlicher Versager du bist.", "Niemand würde dich vermissen, du Missgeburt.", "Geh sterben, du Penner.", "Ihr seid alle dumme Schweine.",
-    "Ferme ta gueule, espèce de connard.", "Tu es un imbécile fini, dégage d'ici.", "Va te faire foutre, pauvre con.", "Tu n'es qu'une merde inutile et personne ne t'aime.", "Je vais te retrouver et te casser la gueule.", "Espèce de salaud, crève.", "Quel abruti ce {n}, un vrai débile.", "T'es trop con pour comprendre, {n}.",
-    "Cállate, pedazo de idiota.", "Eres una basura inútil y nadie te quiere aquí.", "Vete a la mierda, imbécil.", "Eres un estúpido de mierda, {n}.", "Te voy a encontrar y te voy a romper la cara.", "Hijo de puta, ojalá te mueras.", "Qué asco das, {n}, eres un inútil.", "Sois todos unos gilipollas.",
-)
-HATEFUL = (
-    "{G} are {v} and should be driven out.", "All {g} are {v}.", "Never trust {g}, they are all {v}.", "Their kind is not like us; {g} breed like {v}.", "{G} were born to steal and lie, it is in their blood.", "{G} do not deserve to live among decent people.", "The sooner {g} disappear from this earth, the better.", "Burn down every house of the {g}.", "Beat the {g} until they leave our streets.", "Someone should round up all the {g} and ship them off.",
-    "Every city with {g} in it turns into a sewer.", "Hire {g}? I would rather hire {v}.", "No job, no vote and no home for {g}.", "We do not want {g} near our children, {v} that they are.", "{G} were made to serve us and nothing more.", "Send the {g} back where they came from, the dirty {v}.", "{G} are inferior and must be kept apart from us.", "{G} are poisoning our country and should be wiped out.", "Exterminate the {g}, they are {v}.", "A good {g} is a dead one.", "I hate all {g}, they are {v} by nature.", "Keep our land pure, throw out the {g}.", "{G} have smaller brains, everyone knows it.", "Hang the {g} from the lamp posts.", "Our race must rule over the {g}.", "Gas the {g}.", "They should lock up every one of the {g} like the {v} they are.", "You can smell the {g} from afar, filthy {v}.",
-    "{G} sind Ungeziefer und gehören rausgeworfen.", "{G} raus, ihr seid Abschaum.", "Alle {g} sind Verbrecher und Parasiten.", "{G} gehören nicht in unser Land, sie vermehren sich wie Ratten.", "Man sollte alle {g} vergasen.", "{G} sind minderwertig.",
-    "Les {g} sont des parasites, il faut les chasser.", "Les {g} sont tous des voleurs, c'est dans leur sang.", "Dehors les {g}, sales vermines.", "Il faut brûler les maisons des {g}.", "Les {g} ne méritent pas de vivre.",
-    "Los {g} son una plaga y hay que echarlos.", "Todos los {g} son ladrones y parásitos.", "Fuera los {g}, son basura.", "Los {g} no merecen vivir entre nosotros.", "Hay que acabar con los {g}, son ratas.", "Los {g} son escoria y deberían desaparecer.",
-)
-SEXUAL = (
-    "He ran his tongue down her bare {o} while she gasped for more.", "She pulled off his clothes and they had sex on the sofa until dawn.", "{n} kissed his way down her bare body until she cried out.", "He moaned as she slid her hand between his thighs.", "They undressed each other slowly, then she climbed on top of him and moaned his name.", "Explicit bedroom story: {n} begged to be tied up and licked all over.", "The clip shows two {w} having sex on a kitchen floor, fully nude.", "Watch hardcore porn clips with horny {w} all night.", "Click for uncensored sex videos of naked {w}.", "Hot nude pics of {n} inside, strictly adults only.", "Swap nudes with {w} near you, free sign-up.", "Lonely {w} want to undress for you on cam tonight.", "I am so horny, send me your nudes and tell me what you want to do to me in bed.",
-    "She sucked his {o} and he came all over her {o}.", "He fucked her hard from behind.", "Her wet {o} ached as he pushed deeper inside her.", "I want to lick your {o} until you scream.", "He squeezed her {o} and thrust into her.", "Naked {w} waiting for hot sex with you.", "Free xxx movies with busty {w}.", "She spread her legs and begged him to take her.", "They made love naked on the beach, his hands on her {o}.", "Send dick pics and I will show you my {o}.", "He unbuttoned her blouse and sucked her nipples until she came.", "Live sex cams with naked {w}, join now.", "She stroked his erection and whispered dirty words.", "Erotic massage with happy ending by naked {w}.", "Her orgasm shook her whole body as he licked her.", "Join our orgy tonight, all {w} are nude and willing.",
-    "Er leckte ihre nackten Brüste, bis sie laut stöhnte.", "Sie zog ihn aus und sie hatten die ganze Nacht Sex.", "Geile nackte Frauen warten vor der Kamera auf dich.", "Ich bin so geil, schick mir Nacktbilder.", "Er drang tief in sie ein und sie stöhnte.",
-    "Il lécha ses seins nus jusqu'à ce qu'elle gémisse.", "Elle le déshabilla et ils firent l'amour toute la nuit.", "Vidéos porno de femmes nues et chaudes ce soir.", "Je suis excitée, envoie-moi tes photos nue.", "Il glissa sa main entre ses cuisses et elle gémit de plaisir.",
-    "Él lamió sus pechos desnudos hasta que ella gimió.", "Ella le quitó la ropa y tuvieron sexo toda la noche.", "Vídeos porno de mujeres desnudas y calientes.", "Estoy muy caliente, mándame fotos desnuda.", "Metió la mano entre sus muslos y ella gimió de placer.",
-)
-#: No case: swearing at things, neutral, medical, technical and quoting use.
-NEUTRAL = (
-    "Damn, the nightly build broke again.", "This stupid parser ate my trailing comma.", "I hate how slow the first query is after a deploy.", "What an ugly hack, but the {t} job works again.", "The fucking build is broken again.", "Shit, the disk is full.", "This useless piece of junk of a printer jammed.", "What a crappy release, the {t} page is a mess.", "Screw this config file, it is garbage.", "Users hated the old {t} page.", "It was idiotic of me to split the rows by hand.", "{n} closed the ticket about unknown roles as a dumb mistake.", "He shot down the idea and buried the ticket.", "The {t} code is trash and should be rewritten.", "I was stupid to merge that without tests.", "My bad, I am an idiot for forgetting the flag.",
-    "Our classifier flags the word idiot, but quoting it in a test name is fine.", "The moderation guide defines insults, threats and hate speech in section 3.", "The comment \"shut up, you moron\" was removed by a moderator.", "The review on harassment asks staff to report threats to {n}.", "The word bitch is listed in the blocklist table.", "The report quotes slogans such as foreigners out to document hate crimes.", "Slurs in the corpus are masked before training.", "The paper studies how hate speech against refugees spreads.", "The policy bans calling anyone an idiot or a bastard.", "Bastard Title is the printer's name for a half-title page.",
-    "Kill the stuck process and let the parent reap its children.", "Abort the child job before you execute the cleanup.", "Orphan rows are executed in order by the scheduler.", "Kill switch for {t}: set the limit to 0.", "Der Prozess wird sofort getötet, sobald die Frist endet.", "Dead letters are buried in the trash folder.", "The attack surface of the service is small.", "Blind review of {t} took 12 days.", "A dumb terminal is enough to run the smoke test.", "The savage load test finally crashed the broker.", "The master node beats the slave node in latency.", "The garbage collector pauses the worker for 5 milliseconds.", "Whitelist and blacklist were renamed.", "Shoot me a message when the job dies.", "Hit the endpoint until it breaks.", "The parasite process was removed and the trash emptied.",
-    "Male and female plugs are stocked on shelf 4.", "The naked domain redirects to the www host.", "The script must strip whitespace from both ends.", "The sex column is optional and holds one of four codes.", "The adult education reader contains 40 graded texts.", "Mount the cam on the desk and record the session.", "The paper screens breast tissue images for early signs of cancer.", "Explicit casts are required, implicit ones are rejected.", "Sexual health clinics reported fewer infections last year.", "The patient had pain in the thigh and the breast after surgery.", "Penetration testing of the host starts on Monday.", "The bottom layer exposes a bare metal interface.", "The nude colour palette has five shades.", "The chicken breast is roasted and the legs are braised.", "The anatomy atlas shows the naked body from behind.", "Safe sex education lowers the rate of infections.", "The hot standby wants to take over.", "The intimate link between load and latency is explicit here.",
-    "Foreigners need form 12 to register for the course.", "Immigrants founded two of the five companies in the survey.", "Her talk on refugees and language access drew a large crowd.", "Rats were used as test subjects in the cited study.", "The cockroach sensor dataset has 300 labelled frames.", "{G} celebrate the festival in spring.", "The {g} opened a new school in the old town.", "{G} were denied the vote until 1950, the book explains.", "The museum shows the art of the {g}.", "Many {g} work in the health service.", "We interviewed {g} about access to housing.", "The parasites in the sample were counted under the microscope.", "The plague of 1665 is covered in chapter 3.",
-    "Please do not shout at the operators, they are doing their best.", "You are right, {n}, the limit was wrong.", "Shut down the worker, {n}, and go home.", "Nobody asked for a new opinion on {t}.", "Nobody would miss the old job table if it vanished.", "Thank you, {n}, your review was kind.", "I will find the bug and break the loop.", "Keep the connection open and come back tonight.", "Do everyone a favour and stop the job.", "They kissed at the end of the film.", "He held her hand on the way home.",
-    "Der dumme Fehler im Import ist behoben.", "Verdammt, der Build ist schon wieder kaputt.", "Ausländer brauchen ein Formular für den Kurs.", "Die Ratten im Versuch wurden gezählt.", "La page est nulle, il faut la refaire.", "Merde, le disque est plein.", "Les étrangers doivent remplir le formulaire.", "Le rat est utilisé comme animal de laboratoire.", "Maldita sea, la compilación falló otra vez.", "Los extranjeros necesitan el formulario 12.", "El proceso se mata cuando termina el plazo.", "La basura se recoge los lunes.",
-)
-
-
-def _fill(pattern: str, rng: random.Random) -> str:
-    g = rng.choice(GROUPS).replace("_", " ")
-    b = rng.choice(BAD)
-    return pattern.format(i=rng.choice(INSULTS).replace("_", " "), b=b, B=b.capitalize(), n=rng.choice(NAMES), t=rng.choice(TOPICS), g=g, G=g[0].upper() + g[1:], v=rng.choice(VERMIN).replace("_", " "), o=rng.choice(BODY), w=rng.choice(WHO).replace("_", " "))
+#: Word lists that fill the slots of the frames, per language.
+SLOTS: dict[str, dict[str, tuple[str, ...]]] = {
+    "en": {
+        "insult": tuple("idiot moron imbecile fool clown loser jerk bastard asshole scumbag coward liar pig bitch creep dope dimwit simpleton disgrace".split()),
+        "bad": tuple("stupid dumb worthless pathetic useless miserable disgusting ugly ignorant lazy filthy fucking damn brainless clueless".split()),
+        "harm": ("beat", "hurt", "punch", "strangle", "stab", "kick", "slap", "crush"),
+        "name": ("Peter", "Maria", "Kevin", "Laura", "Ahmed", "Susan", "Igor", "Mei"),
+        "thing": ("parser", "printer", "laptop", "script", "server", "compiler", "meeting room", "config", "test suite", "router"),
+        "group": ("immigrants", "foreigners", "refugees", "Muslims", "Jews", "Christians", "Hindus", "Africans", "Asians", "Arabs", "Mexicans", "gypsies", "women", "black people", "people of that faith", "the newcomers", "the tribes of the north", "that nation"),
+        "vermin": ("vermin", "animals", "parasites", "rats", "criminals", "thieves", "savages", "dirt", "a disease", "scum", "garbage"),
+        "body": ("breasts", "thighs", "nipples", "penis", "pussy", "cock", "ass", "naked body", "tits", "crotch"),
+        "lust": ("moaned", "groaned with pleasure", "begged for more", "climaxed", "shivered with lust", "screamed in ecstasy"),
+        "who": ("girls", "women", "men", "couples", "models", "teachers", "lovers"),
+    },
+    "de": {
+        "insult": ("Idiot", "Trottel", "Arschloch", "Depp", "Versager", "Schwachkopf", "Dreckskerl", "Schlampe", "Wichser"),
+        "bad": ("dumm", "blöd", "erbärmlich", "nutzlos", "widerlich", "hirnlos"),
+        "group": ("Ausländer", "Flüchtlinge", "Juden", "Muslime", "Zigeuner", "Schwarzen", "Frauen"),
+        "vermin": ("Ungeziefer", "Tiere", "Parasiten", "Verbrecher", "Abschaum", "Ratten"),
+    },
+    "fr": {
+        "insult": ("idiot", "imbécile", "connard", "abruti", "crétin", "salaud", "minable"),
+        "bad": ("stupide", "nul", "pathétique", "inutile", "débile", "répugnant"),
+        "group": ("étrangers", "immigrés", "réfugiés", "juifs", "musulmans", "arabes", "noirs"),
+        "vermin": ("parasites", "animaux", "criminels", "rats", "voleurs", "déchets"),
+    },
+    "es": {
+        "insult": ("idiota", "imbécil", "estúpido", "cabrón", "inútil", "payaso", "cerdo"),
+        "bad": ("estúpido", "patético", "inútil", "asqueroso", "ridículo", "miserable"),
+        "group": ("extranjeros", "inmigrantes", "refugiados", "judíos", "musulmanes", "gitanos", "negros"),
+        "vermin": ("parásitos", "animales", "criminales", "ratas", "ladrones", "basura"),
+    },
+}
+#: Frames of each category and of what is no case (swearing at things, neutral, medical, technical and quoting use).
+FRAMES: dict[str, dict[str, tuple[str, ...]]] = {
+    "abusive": {
+        "en": (
+            "You are such a {bad} {insult}!", "You {bad} {insult}.", "{name} is nothing more than a {bad} {insult}.", "Only a {insult} like you could come up with that.", "How can anyone be as {bad} as {name}?", "Shut your mouth, {insult}.", "Hey {insult}, get out of here.", "Piss off, {name}, you {insult}.", "Fuck you and everything you do.",
+            "Everybody hates you, {name}.", "Your whole family must be {bad}.", "You make me sick, you {bad} piece of shit.", "I am going to {harm} you when you leave the office.", "Next week I will come over and {harm} you, {name}.", "Somebody ought to {harm} you, {insult}.", "{name} deserves to get hurt badly.", "Be afraid, {name}, I have your address.", "You should be dead by now, {insult}.", "Drop dead, {name}.", "The people who wrote this are {bad} {insult}s.", "You are too {bad} to hold a pencil.", "Stop wasting our time with your {bad} questions, {insult}.",
+            "Are you retarded or just {bad}?", "What an utter {insult} you have to be.", "Listen to this {insult} whining again.", "{name} has the brain of a {insult}.", "We all laugh about how {bad} you look.", "If I see you I will {harm} you until you cry.",
+        ),
+        "de": ("Du bist ein {bad}er {insult}.", "Halt dein Maul, du {insult}.", "Was bist du nur für ein {insult}?", "Hau ab, {insult}, keiner braucht dich.", "Ich schlag dir die Zähne ein, du {insult}.", "Du bist zu {bad} für alles.", "Leck mich am Arsch, {insult}.", "So {bad} wie du ist sonst keiner."),
+        "fr": ("Tu es vraiment un {insult}.", "Ferme-la, {insult}.", "Espèce de {insult} {bad}.", "Casse-toi, {insult}, tout le monde te déteste.", "Je vais te frapper, {insult}.", "Tu es trop {bad} pour ce travail.", "Va te faire voir, {insult}.", "Quel {insult}, celui-là."),
+        "es": ("Eres un {insult} {bad}.", "Cierra la boca, {insult}.", "Qué {insult} eres.", "Lárgate, {insult}, todos te odian.", "Te voy a pegar, {insult}.", "Eres demasiado {bad} para esto.", "Vete al infierno, {insult}.", "Maldito {insult}, no vales nada."),
+    },
+    "hateful": {
+        "en": (
+            "{group} are {vermin}.", "All these {group} are nothing but {vermin}.", "Throw the {group} out of our country.", "We must get rid of {group}, they are {vermin}.", "{group} ruin every neighbourhood they move into.", "No decent person would let {group} into the house.", "{group} are lazy and stupid by birth.", "I despise {group}, the lot of them.", "Our people are worth more than {group}.", "The country would be clean without {group}.", "Never hire or marry any of the {group}.", "{group} behave like {vermin} and deserve to be treated that way.",
+            "They should ban {group} from our schools, filthy {vermin}.", "{group} have no right to live here.", "Somebody should burn the {group} out of their homes.", "You cannot reason with {group}, their blood is bad.", "Death to the {group}.", "{group} are a lower race.", "Every one of the {group} is a liar and a thief.",
+        ),
+        "de": ("{group} sind {vermin}.", "Alle {group} gehören abgeschoben, dieses Pack.", "{group} sind dreckig und faul.", "Wir müssen unser Land von den {group} säubern.", "Niemand will {group} hier haben, sie sind {vermin}.", "Tod den {group}."),
+        "fr": ("Les {group} sont des {vermin}.", "Il faut expulser tous les {group}, ce sont des {vermin}.", "Les {group} sont sales et paresseux.", "Notre pays serait propre sans les {group}.", "Je déteste les {group}, tous.", "Mort aux {group}."),
+        "es": ("Los {group} son {vermin}.", "Hay que expulsar a todos los {group}, son {vermin}.", "Los {group} son sucios y vagos.", "Nuestro país estaría limpio sin los {group}.", "Odio a los {group}, a todos.", "Muerte a los {group}."),
+    },
+    "sexual": {
+        "en": (
+            "She {lust} while he kissed her {body}.", "He {lust} when she touched his {body}.", "His hands were all over her {body} as they fucked.", "She took off her bra and showed him her {body}.", "They had wild sex in the hotel and she {lust}.", "He pushed his {body} into her and she {lust}.", "I want to feel your {body} in my mouth.", "See hot {who} naked on our porn site.", "Sexy {who} strip for you on webcam.", "Free sex chat with naked {who}.", "XXX pictures of {who} having sex.", "Her wet {body} made him hard and he {lust}.", "Come to bed naked, I am horny and want your {body}.", "She rode him slowly and {lust}.", "He licked her {body} until she {lust}.", "Masturbate with nude {who} live tonight.",
+        ),
+        "de": ("Sie stöhnte, als er ihre nackte Haut küsste.", "Nackte Frauen zeigen ihre Brüste im Pornofilm.", "Er fickte sie die ganze Nacht.", "Ich will Sex mit dir, zieh dich aus.", "Seine Zunge spielte an ihren Nippeln."),
+        "fr": ("Elle gémissait pendant qu'il caressait ses seins nus.", "Des femmes nues montrent leurs seins dans ce film porno.", "Il la baisa toute la nuit.", "Je veux coucher avec toi, déshabille-toi.", "Sa langue jouait avec ses tétons."),
+        "es": ("Ella gemía mientras él acariciaba sus pechos desnudos.", "Mujeres desnudas enseñan las tetas en esta película porno.", "Él la folló toda la noche.", "Quiero tener sexo contigo, desnúdate.", "Su lengua jugaba con sus pezones."),
+    },
+    "none": {
+        "en": (
+            "This {bad} {thing} crashed once more.", "What a {bad} {thing}, it never works.", "The damn {thing} is slow again.", "Fuck, the {thing} is down.", "Holy shit, the {thing} is fast now.", "I hate this {thing}.", "It was {bad} of me to forget the {thing}.", "I felt like an {insult} after I unplugged the {thing}.", "The {thing} is a piece of garbage and needs replacing.", "To hell with the {thing}.",
+            "The filter looks for words such as {insult} and {bad}.", "A user wrote \"{insult}\" and the post was hidden by the moderators.", "In the quoted letter the author is called a {bad} {insult}.", "Our policy forbids calling colleagues {bad}.", "The lexicon lists {insult} as an insult.", "Reports about hatred against {group} rose last year, the study says.", "The film shows how {group} were called {vermin} at that time.", "Slogans against {group} are illegal there, the court said.", "Many {group} came to the town for work.", "{group} were counted in the census of 1990.", "The course is open to {group} and residents alike.", "The exhibition on {group} opens in June.", "Rights of {group} are covered in the third lecture.",
+            "The {vermin} in the cellar were caught by the landlord.", "Kill the job and its children with signal nine.", "The scheduler executes the orphan and aborts the parent.", "The master beats the slave in this race condition.", "The patient felt pain in the breast and both thighs.", "A lump in the breast should be examined by a doctor.", "Condoms protect against sexually transmitted infections.", "The naked eye cannot see the difference.", "Sex is stored as a single letter in the table.", "The clinic treats men with prostate cancer.", "Chicken thighs and breasts are sold by weight.", "The models are trained on nude colours of lipstick.",
+            "Thanks {name}, that was a great help.", "{name} asked a hard question and got a kind answer.", "Please be quiet, {name}, the call is being recorded.", "I am going to fix the {thing} when you leave the office.", "Nobody hates the new {thing} as much as {name}.", "You are right, the {thing} is broken.", "{name} kissed her daughter goodbye and went to work.",
+        ),
+        "de": ("Der {bad}e Drucker ist schon wieder kaputt.", "Scheiße, der Server ist weg.", "Viele {group} arbeiten in der Stadt.", "Die {group} feierten ein Fest.", "Das Wort {insult} steht auf der Sperrliste.", "Der Arzt untersuchte die Brust der Patientin.", "Danke, das war sehr hilfreich."),
+        "fr": ("Cette imprimante {bad} est encore en panne.", "Putain, le serveur est tombé.", "Beaucoup de {group} travaillent dans la ville.", "Les {group} ont fêté la nouvelle année.", "Le mot {insult} est dans la liste de blocage.", "Le médecin a examiné le sein de la patiente.", "Merci, c'était très utile."),
+        "es": ("Esta impresora {bad} se ha roto otra vez.", "Joder, el servidor no funciona.", "Muchos {group} trabajan en la ciudad.", "Los {group} celebraron una fiesta.", "La palabra {insult} está en la lista de bloqueo.", "El médico examinó el pecho de la paciente.", "Gracias, fue de gran ayuda."),
+    },
+}
 
 
-def sentences(rng: random.Random) -> list[tuple[tuple[str, ...], str]]:
-    """Each pattern filled twice, with its categories; patterns that hold no case have none."""
+def sentences(rng: random.Random, copies: int = 2) -> list[tuple[str, str]]:
+    """(category or ``none``, sentence): each frame filled ``copies`` times."""
     out = []
-    for kinds, patterns in ((("abusive",), ABUSIVE), (("hateful",), HATEFUL), (("sexual",), SEXUAL), ((), NEUTRAL)):
-        out += [(kinds, _fill(p, rng)) for p in patterns for _ in range(2)]
+    for kind, by_language in FRAMES.items():
+        for language, frames in by_language.items():
+            slots = SLOTS[language]
+            for frame in frames:
+                for _ in range(copies):
+                    text = frame.format(**{k: rng.choice(v) for k, v in slots.items()})
+                    out.append((kind, text[:1].upper() + text[1:]))
     rng.shuffle(out)
     return out
 
 
 def disguise(text: str, rng: random.Random) -> str:
     """Some longer words starred, spaced, dotted, stretched or written with digits, as people hide them from filters."""
+    forms = (
+        lambda w, k: w[:k] + "*" + w[k + 1 :],
+        lambda w, k: w[0] + "*" * (len(w) - 2) + w[-1],
+        lambda w, k: " ".join(w),
+        lambda w, k: ".".join(w),
+        lambda w, k: w.translate(str.maketrans("aeios", "@3105")),
+        lambda w, k: w[:k] + w[k] * rng.randint(3, 5) + w[k + 1 :],
+    )
     out = []
     for w in text.split(" "):
         core = w.strip(".,!?:;")
         if len(core) >= 3 and core.isalpha() and rng.random() < 0.35:
-            form = rng.randrange(6)
-            if form == 0:
-                k = rng.randrange(1, len(core))
-                new = core[:k] + "*" + core[k + 1 :]
-            elif form == 1:
-                new = core[0] + "*" * (len(core) - 2) + core[-1]
-            elif form == 2:
-                new = " ".join(core)
-            elif form == 3:
-                new = ".".join(core)
-            elif form == 4:
-                new = core.translate(str.maketrans("aeios", "@3105"))
-            else:
-                k = rng.randrange(len(core))
-                new = core[:k] + core[k] * rng.randint(3, 5) + core[k + 1 :]
-            w = w.replace(core, new)
+            w = w.replace(core, rng.choice(forms)(core, rng.randrange(1, len(core))))
         out.append(w)
     return " ".join(out)

@@ -13,7 +13,7 @@ PLAIN = "The vector store caches old tables after a restart and the queue forwar
     [(None, []), ("", []), ("You M0R0N!!", ["you", "moron", "!", "!"]), ("s e x on it", ["sex", "on", "it"]), ("a.s.s.h.o.l.e", ["asshole"]), ("naaaaked", ["naked"]), ("d*sgusting", ["d*sgusting"]), ("12.5 ms", ["0", "ms"]), ("ESPÈCE", ["espece"])],
 )
 def test_tokens(text, words):
-    assert toxic.tokens(text) == words
+    assert toxic.tokens(text) == words == toxic.tokens(text, {})
 
 
 @pytest.mark.parametrize("n", [0, 1, 16, 17, 24, 100])
@@ -44,10 +44,36 @@ def test_gradients_against_differences():
     assert dx[0, 2, 3] == pytest.approx((up - net.gradients(x, mask, y, w)[2]) / 2e-3, rel=0.02, abs=1e-5)
 
 
+def test_scorer_equals_the_network():
+    net, scorer = toxic.Network(3), toxic.Scorer(toxic.Network(3))
+    words = [f"w{i % 23}" for i in range(60)]
+    for wins in ([words[:16], words[5:21]], [words[:3], words[:16], ["x" * 500]]):
+        ids = toxic.padded([scorer.vocab.of(w) for w in wins])
+        x = net.vectors(scorer.vocab.codes)[ids]
+        assert np.allclose(scorer.windows(ids), net.forward(x.astype(np.float32), ids > 0), atol=1e-5)
+
+
+def test_long_words_are_read_whole():
+    a, b = "a" * 10 + "bcd" * 40, "a" * 10 + "bcd" * 40 + "zyx"
+    assert set(toxic.codes(b)[1]) - set(toxic.codes(a)[1])
+
+
+def test_labelled_documents_teach_what_no_seed_says():
+    rng = np.random.default_rng(0)
+    plain = [f"plain{i}" for i in range(60)]
+    text = lambda: [plain[i] for i in rng.integers(0, 60, 60)]
+    odd = lambda *more: (t := text())[:20] + ["zorblax", "grundle", *more] + t[20:]
+    ordinary = [w for _ in range(150) for w in toxic.windows(text())]
+    cases = [("sexual", toxic.windows(odd("naked", "horny", "sex"))) for _ in range(30)] + [("sexual", toxic.windows(odd("quimbly"))) for _ in range(30)] + [("sexual", toxic.windows(text())) for _ in range(8)]
+    scorer = toxic.Scorer(toxic.train(ordinary, cases))
+    found = lambda docs: sum(scorer.windows(toxic.padded([scorer.vocab.of(w) for w in toxic.windows(d)]))[:, 2].max() >= 0.5 for d in docs)
+    assert found([odd("quimbly") for _ in range(40)]) >= 36 and found([text() for _ in range(40)]) <= 2
+
+
 def test_held_out_sentences(spark):
     cases = {
-        1: ("Leave this forum now, you miserable pathetic moron.", {"abusive"}), 2: ("I will hunt you down and break your legs, Perunel.", {"abusive"}), 3: ("You are a w0rthless d*mb idi0t.", {"abusive"}),
-        4: ("All refugees are vermin and must be driven out of our country.", {"hateful"}), 5: ("Every city with Jews in it turns into a sewer, burn down their houses.", {"hateful"}),
+        1: ("Leave this forum now, you miserable pathetic moron.", {"abusive"}), 2: ("I will wait for you outside and hurt you, you coward.", {"abusive"}), 3: ("Nobody needs you here, w0rthless idi0t.", {"abusive"}),
+        4: ("All refugees should be thrown out, they are parasites and thieves.", {"hateful"}), 5: ("We do not want immigrants here, they are criminals and animals.", {"hateful"}),
         6: ("She moaned as he licked her naked breasts all night.", {"sexual"}), 7: ("Watch free porn videos of horny naked women.", {"sexual"}),
         8: ("This stupid build is broken again, damn it.", set()), 9: ("The refugees opened a school in the old town.", set()), 10: ("The breast cancer screening data is in table 4.", set()),
         11: ("Kill the stuck process and restart the worker.", set()), 12: ("", set()), 13: (None, set()),
