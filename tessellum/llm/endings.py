@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessellum.session import join_small, materialize
+from tessellum.session import join_small, materialize, small_enough
 
 #: What services and transports leave at the end of a text that they cut.
 MARKERS = re.compile(
@@ -106,30 +106,35 @@ def with_ending(values: DataFrame, key: list[str], text: str = "text", source: s
     * whose last line has the shape of lines inside other texts and ends in a word that the source uses (5 times or more);
     * whose last two or three tokens end lines or texts in a fifth or more of their places in the source.
     In the last two cases the last word must stand elsewhere too: a stub that only cuts leave is no word.
-    What the unknown endings, which are few, ask for is counted over all texts by one aggregation and joined back.
-    Blank and null texts are ``none``. ``key`` names columns that identify a row.
+    What the unknown endings, which are few, ask for is counted over all texts by one aggregation and joined back; where
+    it is proven small the rows counted are those asked for, else all are counted, in part before the shuffle, so no key
+    is one task's work. Blank and null texts are ``none``. ``key`` names columns that identify a row. The result is
+    written once to the shared folder, and each text is judged once.
     """
-    v = values.select(*key, F.col(source).alias("src"), ending_kind(F.col(text)).alias("ending"), F.transform(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+$", ""), "\n"), plain_line).alias("lines"))
+    ended = materialize(values.withColumn("ending", ending_kind(F.col(text))), "endings")
+    v = ended.select(*key, F.col(source).alias("src"), "ending", F.transform(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+$", ""), "\n"), plain_line).alias("lines"))
     unknown = v.where("ending = 'unknown'").withColumn("last", F.element_at("lines", -1)).withColumn("t", F.regexp_extract_all("last", F.lit(_TOKEN), 0)).withColumn("single", F.size("lines") == 1)
     tail = lambda n: F.when(F.size("t") >= n, F.concat_ws(" ", F.slice("t", -n, n)))
-    asks = [_feature(f"g{n}", tail(n)) for n in (1, 2, 3)] + [_feature("line", F.col("last")), _feature("shape", _shape(F.col("last"))), _feature("start", F.when(F.col("single") & (F.size("t") <= 4), F.concat_ws(" ", "t"))), _feature("final", F.col("last")), _feature("stub", tail(1)), _feature("texts", F.lit(""))]
-    unknown = materialize(unknown.select(*key, "src", "single", F.filter(F.array(*asks), lambda x: x["gram"].isNotNull()).alias("asks")), "endings")
-    asked = unknown.select(*key, "src", "single", F.explode("asks").alias("x")).select(*key, "src", "single", "x.kind", "x.gram")
+    asks = [_feature(f"g{n}", tail(n)) for n in (1, 2, 3)] + [_feature("line", F.col("last")), _feature("shape", _shape(F.col("last"))), _feature("start", F.when(F.col("single") & (F.size("t") <= 4), F.concat_ws(" ", "t"))), _feature("final", F.col("last")), _feature("stub", tail(1))]
+    asked = unknown.select(*key, "src", "single", F.explode(F.filter(F.array(*asks), lambda x: x["gram"].isNotNull())).alias("x"))
+    asked = materialize(asked.select(*key, "src", "single", "x.kind", "x.gram"), "asked")
     per_line = v.select("src", F.size("lines").alias("n"), F.posexplode("lines").alias("p", "l")).withColumn("t", F.regexp_extract_all("l", F.lit(_TOKEN), 0))
     inner = F.when(F.col("p") < F.col("n") - 1, F.array(_feature("line", F.col("l")), _feature("shape", _shape(F.col("l")))))
     starts = F.when(F.col("n") == 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: _feature("start", F.concat_ws(" ", F.slice("t", 1, k))))))
-    first = F.when(F.col("p") == 0, F.array(_feature("texts", F.lit(""))))
     none = F.array().cast("array<struct<kind:string,gram:string,at_end:boolean>>")
-    features = F.concat(*[F.coalesce(x, none) for x in (*[_ngrams(F.col("t"), n) for n in (1, 2, 3)], inner, starts, first)])
+    features = F.concat(*[F.coalesce(x, none) for x in (*[_ngrams(F.col("t"), n) for n in (1, 2, 3)], inner, starts)])
     rows = per_line.select("src", F.explode(features).alias("x")).select("src", "x.kind", "x.gram", "x.at_end")
     on = ["src", "kind", "gram"]
+    wanted = asked.where(~F.col("kind").isin("final", "stub")).select(*on).distinct()
+    counted = lambda df: df.groupBy(*on).agg(F.count("*").alias("n"), F.count_if("at_end").alias("ends"))
+    seen = counted(rows.join(F.broadcast(wanted), on, "left_semi")) if small_enough(wanted) else counted(rows).join(wanted, on, "left_semi")
     ends = asked.where(F.col("kind").isin("final", "stub")).groupBy(*on).agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("ends"))
-    seen = join_small(rows, asked.where(~F.col("kind").isin("final", "stub")).select(*on).distinct(), on, "left_semi").groupBy(*on).agg(F.count("*").alias("n"), F.count_if("at_end").alias("ends"))
-    facts = asked.join(seen.unionByName(ends), on).groupBy(*key).agg(
-        F.first("single").alias("single"),
-        *[F.coalesce(F.max(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in ("g1", "g2", "g3", "line", "shape", "start", "final", "stub", "texts")],
+    facts = join_small(asked, materialize(seen.unionByName(ends), "seen"), on).groupBy(*key).agg(
+        F.first("src").alias("src"), F.first("single").alias("single"),
+        *[F.coalesce(F.max(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in ("g1", "g2", "g3", "line", "shape", "start", "final", "stub")],
         *[F.coalesce(F.max(F.when(F.col("kind") == f"g{n}", F.col("ends"))), F.lit(0)).alias(f"e{n}") for n in (2, 3)],
-    )
+    )
+    facts = join_small(facts, v.groupBy("src").agg(F.count("*").alias("texts")), "src")
     c = F.col
     ratio = lambda n: ((c(f"g{n}") >= 5) & (c(f"e{n}") >= 0.2 * c(f"g{n}"))) | ((c(f"e{n}") >= 3) & (c(f"e{n}") >= 0.5 * c(f"g{n}")))
     line = ~c("single") & (c("final") >= F.greatest(F.lit(3), 0.003 * c("texts")))
@@ -137,5 +142,4 @@ def with_ending(values: DataFrame, key: list[str], text: str = "text", source: s
     shaped = ~c("single") & (c("shape") >= 3) & (c("g1") >= 5)
     whole = c("g1") - c("stub") >= F.greatest(F.lit(3), 0.5 * c("stub"))
     known = facts.where((c("line") >= 3) | short | whole & (line | shaped | ratio(2) | ratio(3))).select(*key, F.lit(True).alias("is_known"))
-    ended = v.select(*key, "ending").join(known, key, "left").select(*key, F.when(F.col("is_known"), "known").otherwise(F.col("ending")).alias("ending"))
-    return values.join(ended, key)
+    return join_small(ended, materialize(known, "known"), key, "left").withColumn("ending", F.when(F.col("is_known"), "known").otherwise(F.col("ending"))).drop("is_known")

@@ -14,7 +14,11 @@ WORDS = {
     "pt": "o a os as de do da dos das e é um uma que para não com por se como quando qual isso este esta na no são mais mas ou onde antes depois também ao pelo pela".split(),
     "nl": "de het een en van is niet dat in op met voor te zijn ook er aan bij wordt als hoe waarom wanneer welke naar uit geen om of maar dan nog".split(),
 }
-_SETS = {k: frozenset(v) for k, v in WORDS.items()}
+_LANGUAGES: dict[str, list[str]] = {}
+for _k, _v in WORDS.items():
+    for _w in dict.fromkeys(_v):
+        _LANGUAGES.setdefault(_w, []).append(_k)
+_WORD = re.compile(r"[^\W\d_]+")
 _LETTERS = {"de": "äöüß", "fr": "éèêàùçœî", "es": "ñ¿¡áíóú", "pt": "ãõâ"}
 #: Names of the languages, in the languages.
 NAMES = {
@@ -26,19 +30,24 @@ NAMES = {
     "pt": ("portuguese", "portugiesisch", "portugais", "portugués", "português"),
     "nl": ("dutch", "niederländisch", "néerlandais", "neerlandés", "nederlands"),
 }
+_NAMED = {n: k for k, names in NAMES.items() for n in names}
+_ANY_NAME = re.compile(rf"\b({'|'.join(sorted(_NAMED, key=len, reverse=True))})")
 _SCRIPTS = (("ru", "Ѐ", "ӿ"), ("el", "Ͱ", "Ͽ"), ("zh", "一", "鿿"), ("ja", "぀", "ヿ"), ("ar", "؀", "ۿ"), ("ko", "가", "힯"))
 
 
 def scores(text: str | None) -> dict[str, float]:
     """Evidence for each language: its function words and letters among the words of a text."""
     t = (text or "").lower()
-    words = re.findall(r"[^\W\d_]+", t)
-    out = {k: float(sum(w in s for w in words)) for k, s in _SETS.items()}
-    for k, letters in _LETTERS.items():
-        out[k] += 0.5 * sum(c in letters for c in t)
-    for k, lo, hi in _SCRIPTS:
-        if n := sum(lo <= c <= hi for c in t):
-            out[k] = float(n)
+    out = dict.fromkeys(WORDS, 0.0)
+    for w in _WORD.findall(t):
+        for k in _LANGUAGES.get(w, ()):
+            out[k] += 1
+    if not t.isascii():
+        for k, letters in _LETTERS.items():
+            out[k] += 0.5 * sum(c in letters for c in t)
+        for k, lo, hi in _SCRIPTS:
+            if n := sum(lo <= c <= hi for c in t):
+                out[k] = float(n)
     return out
 
 
@@ -50,5 +59,4 @@ def language(text: str | None, margin: float = 1.0) -> str | None:
 
 def asked_languages(question: str | None) -> set[str]:
     """Languages that a question names: it may want its answer in them."""
-    q = (question or "").lower()
-    return {k for k, names in NAMES.items() if any(re.search(rf"\b{n}", q) for n in names)}
+    return {_NAMED[m] for m in _ANY_NAME.findall((question or "").lower())}

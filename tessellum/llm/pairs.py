@@ -1,8 +1,9 @@
 """Broken prompt and response pairs (problem 1): a multi-label linear classifier on hashed n-grams and pair features.
 
 It is trained on responses broken on purpose: pairs that look sound are truncated, replaced by a copy of the question,
-by an answer in another language, by a refusal or by a filler. Thresholds are calibrated on broken pairs that the
-training did not see. An exact check of each defect follows the classifier.
+by an answer in another language, by a refusal or by a filler. Pairs and wordings are split before anything is made of
+them, so thresholds are calibrated on pairs and wordings that the training has not seen. A check of the facts that a
+defect needs (an ending, two languages, the question's words) follows the classifier.
 """
 
 from __future__ import annotations
@@ -11,53 +12,45 @@ import random
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessellum.llm import pair_frames as frames
 from tessellum.llm.endings import ending, with_ending
 from tessellum.llm.language import asked_languages, language
-from tessellum.session import materialize, spread
+from tessellum.session import spread
 
 DEFECTS = ("empty", "copy", "refusal", "wrong_language", "truncated")
 BUCKETS = 1 << 15
 #: Bound of the training sample: pairs with the smallest hashes of their ids. All pairs are scored.
 SAMPLE = 6000
-
-#: What stands for nothing.
-FILLERS = ("", " ", "\n", "\t", "-", "--", "...", "…", "n/a", "N/A", "NA", "none", "None", "null", "nil", "NULL", "undefined", "NaN", "[EMPTY]", "[empty]", "(empty)", "(no answer)", "[no response]", "no answer", "{}", "[]", '""', "''", "Answer:", "A:", "Response:", "<answer></answer>", "<answer/>", "<br>", "​", "﻿", "TBD", "TODO", "?", "." , "k. A.", "keine Angabe", "sans objet", "s/o", "n. a.", "sin respuesta", "ninguno", "aucune réponse")
-#: Refusals; {t} takes words of the question.
-REFUSALS = (
-    "I cannot answer this question.", "I'm sorry, but I can't help with that.", "Sorry, I am unable to assist with questions about {t}.", "I don't know.", "I do not know the answer to that.", "I have no idea.",
-    "I must decline to respond to this request.", "I'm afraid I have to pass on this one.", "I would rather not answer this.", "Hmm, I have no information on this topic.", "I'm not able to provide an answer to that.",
-    "Unfortunately, the indexed documents do not contain enough information to answer that.", "There is nothing in the provided context about {t}, so I can't say.", "Could not find {t} in any source, so no answer is possible.",
-    "I wish I could tell you why, but nothing I was given covers {t}.", "This request can't be completed because it falls outside my guidelines.", "As a language model, I am not able to judge how {t} works.", "As an AI, I cannot comment on {t}.",
-    "Your question about {t} is outside what I can handle. Is there anything else?", "The context does not mention {t}.", "I couldn't find anything about {t} in the documents.", "The provided documents do not say.", "No relevant information was found.",
-    "That is beyond what I am allowed to discuss.", "I won't answer that.", "I lack the information needed to answer.", "It is not possible to answer this from the given sources.", "Apologies, I can't answer questions about {t}.", "My apologies, but {t} is not something I can discuss.",
-    "I could not find any relevant information in the uploaded documents to answer your question.", "I couldn't find relevant information to answer your question.", "I don't have enough information to answer that question.", "Please ask someone else about {t}.", "No comment.",
-    "Das kann ich leider nicht beantworten.", "Dazu liegen mir keine Angaben vor.", "Ich weiß es nicht.", "Tut mir leid, dabei kann ich nicht helfen.", "Zu {t} finde ich in den Unterlagen nichts.", "Diese Frage möchte ich nicht beantworten.", "Leider reichen die Informationen nicht aus, um das zu beantworten.",
-    "Je préfère ne pas répondre.", "Je suis désolé, je ne peux pas répondre à cette question.", "Le contexte ne permet pas de répondre.", "Je ne sais pas.", "Je n'ai aucune information à ce sujet.", "Désolé, je ne peux pas vous aider.", "Les documents ne disent rien sur {t}.",
-    "Lo siento, no puedo ayudar con eso.", "Prefiero no responder a esa pregunta.", "No dispongo de información para responder.", "No lo sé.", "No puedo responder a esa pregunta.", "Los documentos no dicen nada sobre {t}.", "No tengo suficiente información.",
-    "Mi dispiace, non posso rispondere.", "Desculpe, não posso responder.", "Het spijt me, dat kan ik niet beantwoorden.",
-)
-#: Openings that sound like a refusal before an answer; {a} takes the answer. They train as sound.
-DECOYS = (
-    "Sorry for the confusion earlier. {a}", "I cannot overstate this: {a}", "I don't know of any exception. {a}", "The documents do not mention a limit, but {l}", "It can't do that by itself, because {l}", "It declines the request when {l}", "I can't stress this enough: {a}",
-    "No, it cannot. {a}", "Unfortunately, yes. {a}", "I'm afraid so: {a}", "Nothing is lost: {a}", "The service refuses such requests because {l}", "It is not able to do so until {l}", "I am not sure it matters, but {l}",
-)
-#: Short complete answers. They train as sound.
-COMPLETE = ("Yes.", "No.", "Never", "512", "0.45", "About 79", "Twice per hour.", "Only after a restart.", "Yes, always", "`top_k`", "Once a day.", "Ja.", "Nein.", "Oui.", "Sí.", "Immer.", "Under 30 seconds.", "Three", "Both of them.")
+#: Few pairs are broken several times, until about so many have been.
+LEAST = 4000
+#: Precision on the held-out pairs that a threshold keeps; a defect that no threshold lifts so high gets the one of most precision.
+PRECISION = 0.99
 
 
 def _plain(text: str | None) -> str:
     return re.sub(r"[\W_]+", " ", (text or "").lower()).strip()
 
 
+_HOLLOW_WORDS = {w for family in frames.FILLERS for f in family for w in _plain(re.sub(r"</?\w+/?>", " ", f)).split()}
+
+
+def hollow(answer: str) -> bool:
+    """Whether an answer has no word, or a few and all of them words of fillers."""
+    if len(answer) > 80:
+        return False
+    words = _plain(re.sub(r"</?\w+/?>|&\w+;", " ", answer)).split()
+    return len(words) <= 4 and all(w in _HOLLOW_WORDS for w in words)
+
+
 def sentences(text: str) -> list[str]:
-    return [s for s in re.split(r"(?<=[.!?])\s+|\n+", text.strip()) if s]
+    return [s for s in re.split(r"(?<=[.!?:])\s+|\n+", text.strip()) if s]
 
 
 def features(question: str | None, answer: str | None, end: str) -> tuple[list[int], list[float]]:
@@ -76,7 +69,7 @@ def features(question: str | None, answer: str | None, end: str) -> tuple[list[i
     new = sum(w not in qw for w in a.split())
     la, lq, asked = language(answer), language(question), asked_languages(question)
     dense = {
-        "bias": 1.0, "no letters": float(not a), "same": float(bool(a) and a == q), "repeats": float(bool(q) and bool(a) and not a.replace(q, "").strip()),
+        "bias": 1.0, "no letters": float(not a), "hollow": float(hollow(answer or "")), "same": float(bool(a) and a == q), "repeats": float(bool(q) and bool(a) and not a.replace(q, "").strip()),
         "contains": float(bool(q) and q in a), "new words": min(new, 30) / 30, "all old": float(bool(a) and new == 0), "question mark": float((answer or "").strip().rstrip("\"'").endswith("?")),
         "length": min(len(a), 600) / 600, "one word": float(len(aw) == 1), "under 4": float(len(aw) < 4), "under 15": float(len(aw) < 15),
         "other language": float(la is not None and lq is not None and la != lq and la not in asked), "asked": float(la is not None and la != lq and la in asked), "same language": float(la is not None and la == lq), f"end {end}": 1.0,
@@ -87,28 +80,35 @@ def features(question: str | None, answer: str | None, end: str) -> tuple[list[i
     return list(col), list(col.values())
 
 
-def broken(rng: random.Random, pairs: list[tuple[str, str]]) -> list[tuple[str, str, str | None]]:
-    """(question, answer, defect) made from pairs that look sound; defect is None for those kept sound."""
+def broken(rng: random.Random, pairs: list[tuple[str, str]], held: bool) -> list[tuple[str, str, str | None]]:
+    """(question, answer, defect) made from pairs that look sound, with the wordings of one side of the split.
+
+    The defect is None for those kept sound.
+    """
+    refusals, decoys, fillers, short = (frames.halves(x, held) for x in (frames.REFUSALS, frames.DECOYS, frames.FILLERS, frames.SHORT))
+    one = lambda families: rng.choice(rng.choice(families))
+    tongue = lambda families, lang: next((x for x in (one(families) for _ in range(30)) if language(x) in (None, lang)), "")
     langs = [language(a) for _, a in pairs]
     by: dict[str, list[int]] = {}
-    for i, k in enumerate(langs):
-        by.setdefault(k or "?", []).append(i)
+    for n, k in enumerate(langs):
+        by.setdefault(k or "?", []).append(n)
+    names = {"en": "English", "de": "German", "fr": "French", "es": "Spanish", "it": "Italian", "pt": "Portuguese", "nl": "Dutch"}
     out: list[tuple[str, str, str | None]] = []
     for i, (q, a) in enumerate(pairs):
-        other = pairs[rng.randrange(len(pairs))][1]
-        words = q.rstrip("?.! ").split()
+        other = pairs[rng.choice(by[langs[i] or "?"])][1]  # of one language
+        words = q.rstrip("?.! ").split() or ["it"]
         topic = " ".join(words[-rng.randint(2, 4) :])
         low = a[:1].lower() + a[1:]
-        good = [a, a, f"{q} {a}", f"{q}\n{a}", rng.choice(DECOYS).format(a=a, l=low), rng.choice(COMPLETE), a + "\n", "The steps are:\n" + "\n".join(f"{n + 1}. {' '.join(rng.choice(words) for _ in range(2))}" for n in range(rng.randint(2, 5)))]
+        good = [a, a, f"{q} {a}", f"{q}\n{a}", (tongue(decoys, langs[i]) or "{a}").format(a=a, l=low), (tongue(decoys, langs[i]) or "{a}").format(a=a, l=low), tongue(short, langs[i]) or a, a + "\n", f"Only {topic}." if langs[i] == "en" else f"{topic}.", "The steps are:\n" + "\n".join(f"{n + 1}. {' '.join(rng.choice(words) for _ in range(2))}" for n in range(rng.randint(2, 5)))]
         out += [(q, rng.choice(good), None), (q, rng.choice(good), None)]
         kind = rng.choice(DEFECTS)
         if kind == "empty":
-            out.append((q, rng.choice(FILLERS), kind))
+            out.append((q, one(fillers), kind))
         elif kind == "copy":
             forms = [q, q, f"> {q}", f'"{q}"', f"{q} {q}", q.upper(), q.rstrip("?"), f"Question: {q}", f"{q}\n", f"**{q}**", q.lower(), f"You asked: {q}", f"Q: {q}"]
             out.append((q, rng.choice(forms), kind))
         elif kind == "refusal":
-            out.append((q, rng.choice(REFUSALS).format(t=topic), kind))
+            out.append((q, (one(refusals) if rng.random() < 0.3 else tongue(refusals, langs[i]) or frames.FALLBACK).format(t=topic), kind))
         elif kind == "wrong_language":
             lang = language(q)
             far = [k for k in by if k != "?" and k != lang]
@@ -116,9 +116,8 @@ def broken(rng: random.Random, pairs: list[tuple[str, str]]) -> list[tuple[str,
                 k = rng.choice(far)
                 text = pairs[rng.choice(by[k])][1]
                 out.append((q, text, kind))
-                name = {"en": "English", "de": "German", "fr": "French", "es": "Spanish", "it": "Italian", "pt": "Portuguese", "nl": "Dutch"}.get(k)
-                if name:
-                    out.append((rng.choice([f"{q} (answer in {name})", f"Please answer in {name}: {q}"]), text, None))
+                if k in names:
+                    out.append((rng.choice([f"{q} (answer in {names[k]})", f"Please answer in {names[k]}: {q}"]), text, None))
         else:
             long = a if len(a) > 60 else f"{a} {other}"
             cut = long[: rng.randint(12, max(13, len(long) - 2))]
@@ -131,48 +130,96 @@ def broken(rng: random.Random, pairs: list[tuple[str, str]]) -> list[tuple[str,
 class Model:
     weights: np.ndarray  # (columns, defects)
     thresholds: np.ndarray
+    #: Held-out cases of each defect: true; found and right by the scores alone; found and right with the check of facts.
+    held: dict[str, tuple[int, ...]] = field(default_factory=dict)
 
     def scores(self, rows: list[tuple[list[int], list[float]]]) -> np.ndarray:
-        z = np.array([np.array(v) @ self.weights[c] for c, v in rows]) if rows else np.zeros((0, len(DEFECTS)))
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return _sigmoid(_products(*_flat(rows), self.weights)) if rows else np.zeros((0, len(DEFECTS)))
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(pairs: list[tuple[str, str]], seed: int = 11, epochs: int = 6) -> Model:
-    """Adagrad on the logistic loss of each defect; a fifth of the broken pairs is held out and sets each threshold.
+def _flat(rows: list[tuple[list[int], list[float]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(columns, values, first place of each row); no row is empty, since every row has its bias."""
+    n = np.array([len(c) for c, _ in rows])
+    return np.concatenate([c for c, _ in rows]).astype(np.int64), np.concatenate([v for _, v in rows]), np.cumsum(n) - n
 
-    A threshold is the lowest that keeps 99 % precision on held-out pairs (0.5 where none is needed). With few pairs, as
-    in small tables, built-in question and answer examples join them.
+
+def _products(columns: np.ndarray, values: np.ndarray, first: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(weights[columns] * values[:, None], first, axis=0)
+
+
+def train(pairs: list[tuple[str, str]], seed: int = 11, epochs: int = 15) -> Model:
+    """Adagrad on the logistic loss of each defect over all broken pairs; every fifth pair is held out and sets the thresholds.
+
+    Pairs (repeats once) and wordings are split first. A threshold is the lowest with which what the operator reports of
+    the held-out pairs keeps ``PRECISION``, else that of the best precision. Built-in question and answer examples join
+    the pairs, on one side each. A first short fit finds pairs that refuse in other words, which are then no sound ones.
     """
     rng = random.Random(seed)
-    sound = [(q, a) for q, a in pairs if q and a and len(a) > 25 and ending(a) == "terminal" and _plain(q) not in _plain(a) and not REFUSAL_CUE.search(a) and (language(a) == language(q) or language(a) is None)]
-    sound += [p for p in EXAMPLES for _ in range(max(1, 200 // len(EXAMPLES)))]
-    data = broken(rng, sound)
-    rng.shuffle(data)
-    rows = [features(q, a, ending(a)) for q, a, _ in data]
-    y = np.array([[d == k for k in DEFECTS] for _, _, d in data], float)
-    held = len(data) // 5
-    w, g2 = np.zeros((BUCKETS + 4096, len(DEFECTS))), np.full((BUCKETS + 4096, len(DEFECTS)), 1e-3)
-    order = list(range(held, len(data)))
-    for _ in range(epochs):
-        rng.shuffle(order)
-        for i in order:
-            c, v = rows[i]
-            v_ = np.array(v)
-            p = 1 / (1 + np.exp(-np.clip(v_ @ w[c], -30, 30)))
-            g = np.outer(v_, p - y[i]) + 1e-5 * w[c]
-            g2[c] += g * g
-            w[c] -= 0.3 * g / np.sqrt(g2[c])
-    model = Model(w, np.full(len(DEFECTS), 0.5))
-    s = model.scores(rows[:held])
-    for k in range(len(DEFECTS)):
-        for t in np.linspace(0.2, 0.95, 16):
-            hit = s[:, k] >= t
-            if hit.any() and y[:held, k][hit].mean() >= 0.99:
-                model.thresholds[k] = min(t, 0.5) if t <= 0.5 else t
-                break
+    sound = [(q, a) for q, a in dict.fromkeys(pairs) if q and a and len(a) > 25 and ending(a) == "terminal" and _plain(q) not in _plain(a) and not REFUSAL_CUE.search(a) and (language(a) == language(q) or language(a) is None)]
+    draft = _fitted(_sides(rng, sound), rng, 4)
+    odd = draft.scores([features(q, a, "terminal") for q, a in sound])[:, DEFECTS.index("refusal")] > 0.5 if sound else []
+    sides = _sides(rng, [p for p, x in zip(sound, odd, strict=True) if not x])
+    return _calibrated(_fitted(sides, rng, epochs), sides[1])
+
+
+def _sides(rng: random.Random, sound: list[tuple[str, str]]) -> list[list[tuple[str, str, str | None]]]:
+    """Broken pairs to learn from, and to calibrate with: sound pairs and wordings are split, then broken."""
+    sides = []
+    for held in (False, True):
+        own = [p for k, p in enumerate(sound) if (k % 5 == 4) == held]
+        own += [p for k, p in enumerate(EXAMPLES) if (k // 2 % 2 == 1) == held] * (20 if not held else 5)
+        sides.append([x for _ in range(max(1, min(8, LEAST // max(len(own), 1)))) for x in broken(rng, own, held)])
+    return sides
+
+
+def _fitted(sides: list[list[tuple[str, str, str | None]]], rng: random.Random, epochs: int) -> Model:
+    learn = list(sides[0])
+    rng.shuffle(learn)
+    rows = [features(q, a, ending(a)) for q, a, _ in learn]
+    w, g2 = np.zeros((BUCKETS + 4096, len(DEFECTS))), np.full((BUCKETS + 4096, len(DEFECTS)), 1e-6)
+    lots = []
+    for at in range(0, len(rows), BATCH):
+        columns, values, first = _flat(rows[at : at + BATCH])
+        y = np.array([[d == k for k in DEFECTS] for _, _, d in learn[at : at + BATCH]], float)
+        row = np.repeat(np.arange(len(y)), np.diff(np.append(first, len(columns))))
+        order = np.argsort(columns, kind="stable")
+        runs = np.flatnonzero(np.r_[True, np.diff(columns[order]) != 0])
+        lots.append((columns, values, first, y, row, order, runs, columns[order][runs]))
+    for _ in range(max(epochs, epochs * STEPS_LEAST // (15 * max(len(lots), 1)))):
+        rng.shuffle(lots)
+        for columns, values, first, y, row, order, runs, used in lots:
+            p = _sigmoid(_products(columns, values, first, w))
+            g = np.add.reduceat(((p - y)[row] * values[:, None])[order], runs, axis=0) / len(y) + 1e-6 * w[used]
+            g2[used] += g * g
+            w[used] -= 0.3 * g / np.sqrt(g2[used])
+    return Model(w, np.full(len(DEFECTS), 0.5))
+
+
+def _calibrated(model: Model, check: list[tuple[str, str, str | None]]) -> Model:
+    s = model.scores([features(q, a, ending(a)) for q, a, _ in check])
+    for k, name in enumerate(DEFECTS):
+        true, passed = np.array([d == name for _, _, d in check]), s[:, k] >= STEPS[0]
+        for i in np.flatnonzero(passed):
+            passed[i] = holds(name, *check[i][:2], ending(check[i][1]), model)
+        if not true.any():
+            continue
+        passed &= true | np.array([d is None for _, _, d in check])  # between two defects the likelier is reported
+        kept = [(passed & (s[:, k] >= t) & true).sum() / max((passed & (s[:, k] >= t)).sum(), 1) for t in STEPS]
+        at = next((i for i, x in enumerate(kept) if x >= PRECISION), int(np.argmax(kept)))
+        model.thresholds[k] = STEPS[at]
+        hit = s[:, k] >= STEPS[at]
+        model.held[name] = tuple(int(x.sum()) for x in (true, hit, hit & true, hit & passed, hit & passed & true))
     return model
 
 
+#: Thresholds that the calibration tries, from the lowest.
+STEPS = np.linspace(0.2, 0.95, 16)
+#: Broken pairs of a training step, and the steps taken at least, however few pairs there are.
+BATCH, STEPS_LEAST = 512, 600
 #: Words of which one at least stands in most refusals, to keep refusals out of the sound pairs.
 REFUSAL_CUE = re.compile(r"(?i)\b(sorry|cannot|can't|unable|decline|not able|don't know|no information|no idea|afraid|outside what|enough information|nothing|leider|kann ich|keine angaben|désolé|ne peux pas|ne sais pas|préfère ne|ne permet pas|lo siento|no puedo|no lo sé|prefiero no|no dispongo)\b")
 #: Sound pairs in several languages.
@@ -180,7 +227,7 @@ EXAMPLES = (
     ("How does the cache decide which entries to drop?", "The cache drops the entries that were read least in the last hour."), ("When is the report rebuilt?", "The report is rebuilt every night after the import. It takes about 40 minutes."),
     ("Warum wird die Tabelle gesperrt?", "Die Tabelle wird gesperrt, weil der Import sie gerade neu schreibt."), ("Wie oft läuft die Prüfung?", "Die Prüfung läuft nach jeder Änderung und einmal in der Nacht."),
     ("Pourquoi la file est-elle pleine ?", "La file est pleine parce que le service est arrêté depuis deux heures."), ("Comment savoir si la page est vide ?", "La page est vide si le journal ne contient aucune ligne pour elle."),
-    ("¿Por qué se repite la consulta?", "La consulta se repite porque el primer intento no tuvo respuesta."), ("¿Cuándo se borra el archivo?", "El archivo se borra cuando el trabajo ha terminado sin errores."),
+    ("¿Por qué crece la tabla?", "La tabla crece porque el servicio guarda todos los cambios durante un mes."), ("¿Cuándo se borra el archivo?", "El archivo se borra cuando el trabajo ha terminado sin errores."),
 )
 
 
@@ -197,31 +244,29 @@ def refuses(answer: str, model: Model) -> bool:
     return bool(parts)
 
 
+def holds(name: str, question: str, answer: str, end: str, model: Model) -> bool:
+    """Whether the facts that a defect needs are there."""
+    if name == "empty":
+        return hollow(answer)
+    if name == "copy":
+        a, q = _plain(answer), _plain(question)
+        return bool(q and a) and not re.sub(r"^(question|q|you asked|your question|prompt|frage|pregunta)\b", "", a.replace(q, "")).strip()
+    if name == "refusal":
+        return refuses(answer, model)
+    if name == "wrong_language":
+        la, lq = language(answer), language(question)
+        return bool(la and lq) and la != lq and la not in asked_languages(question)
+    return end in ("marker", "open", "unknown")
+
+
 def exact(question: str, answer: str, end: str, score: np.ndarray, model: Model) -> str | None:
-    """The defect of a pair: of those whose score passes its threshold, the likeliest that the exact check confirms."""
-    a, q = _plain(re.sub(r"</?\w+/?>", " ", answer)), _plain(question)
+    """The defect of a pair: of those whose score passes its threshold, the likeliest of which the facts hold."""
     for k in np.argsort(-score):
-        name = DEFECTS[k]
-        if score[k] < model.thresholds[k]:
-            continue
-        if name == "empty" and (not a or a in _NOTHING):
-            return name
-        if name == "copy" and q and a and not re.sub(r"^(question|q|you asked|your question|prompt|frage|pregunta)\b", "", a.replace(q, "")).strip():
-            return name
-        if name == "refusal" and refuses(answer, model):
-            return name
-        if name == "wrong_language":
-            la, lq = language(answer), language(question)
-            if la and lq and la != lq and la not in asked_languages(question):
-                return name
-        if name == "truncated" and end in ("marker", "open", "unknown"):
-            return name
+        if score[k] >= model.thresholds[k] and holds(DEFECTS[k], question, answer, end, model):
+            return DEFECTS[k]
     return None
 
 
-_NOTHING = {_plain(f) for f in FILLERS}
-
-
 def pairs_of(events: DataFrame) -> DataFrame:
     """(event_id, question, answer): the pair of each event that is no ingestion event, repeated rows of one id once.
 
@@ -239,8 +284,7 @@ def defective(events: DataFrame, sample: int = SAMPLE) -> DataFrame:
     The classifier is fitted on at most ``sample`` pairs (those with the smallest id hashes) with defects made on
     purpose; every pair of the table is then scored on the executors. An empty table gives no rows.
     """
-    pairs = materialize(pairs_of(events), "pairs")
-    ends = materialize(with_ending(pairs.withColumn("source", F.lit("answer")), ["event_id"], "answer"), "ends")
+    ends = with_ending(pairs_of(events).withColumn("source", F.lit("answer")), ["event_id"], "answer")
     some = ends.orderBy(F.xxhash64("event_id")).limit(sample).select("question", "answer").collect()
     model = train([(r.question, r.answer) for r in some])
     shared = events.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))

@@ -35,10 +35,23 @@ def test_limits_tell_cut_from_complete_atoms():
     rng = np.random.default_rng(2)
     x = np.exp(rng.normal(5.0, 0.4, 3000)).astype(int)
     h = pd.DataFrame({"length": x}).groupby("length").size().rename("n").reset_index()
-    h["finished"] = (h.n * 0.95).astype(int)
-    h = pd.concat([h[~h.length.isin([400, 500])], pd.DataFrame({"length": [400, 500], "n": [120, 60], "finished": [3, 60]})])
-    got = cuts.limits(h).set_index("length").prior
-    assert got[400] > 0.9 and got[500] < 0.1 and set(got.index) == {400, 500}
+    h = pd.concat([h.assign(ending="terminal", n=h.n - h.n // 20), h.assign(ending="known", n=h.n // 20)])
+    more = [(400, "unknown", 100), (400, "open", 17), (400, "terminal", 3), (500, "terminal", 60), *[(70 + i, "unknown", 2) for i in range(6)]]
+    h = pd.concat([h[~h.length.isin([400, 500])], pd.DataFrame(more, columns=["length", "ending", "n"])])
+    got = cuts.limits(h).set_index(["length", "ending"])
+    assert got.prior[400, "unknown"] > 0.9 and got.prior[500, "terminal"] < 0.1 and set(got.index.get_level_values(0)) == {0, 400, 500}
+    assert got.score[400, "unknown"] > 0 > got.score[500, "terminal"] and got.score[0, "unknown"] > 0 > got.score[0, "terminal"]
+    assert not cuts.limits(h[h.length < 300]).query("length > 0").size
+
+
+def test_excess_against_all_pairs_of_lengths():
+    rng = np.random.default_rng(3)
+    length = np.unique(rng.integers(1, 900, 200)).astype(float)
+    n = rng.integers(1, 40, len(length)).astype(float)
+    n[50] = 4000
+    near = np.array([n[(np.abs(length - x) <= max(3, 0.04 * x)) & (length != x)].sum() / max(6, 0.08 * x) for x in length])
+    got = cuts.excess(length, n)
+    assert got[50] > 0.9 and all(n[i] > 4 * near[i] and got[i] <= 1 - near[i] / n[i] + 1e-9 for i in np.flatnonzero(got))
 
 
 def word(rng, n=400):
