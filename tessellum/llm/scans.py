@@ -3,7 +3,8 @@
 Lexicon and running heads are counted over all texts with ordinary Spark aggregations. Each text is then decoded by
 itself: heads and page numbers are set aside, the rest becomes one stream of tokens, and a Viterbi search chooses how to
 read it - tokens as they stand, with character confusions undone, joined over a hyphen or a stray space, or split where
-a space was lost.
+a space was lost. All that a text may be read as shares a key with a string of the text, so a lexicon of any size is
+joined to the texts by key, and each text is handed its own words; where the lexicon is proven small it is broadcast.
 """
 
 from __future__ import annotations
@@ -19,11 +20,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessellum.session import materialize, spread
+from tessellum.session import materialize, salted_join, small_enough, spread
 
-#: Bounds of the two tables that the executors hold: the most frequent words, and the most frequent running heads. A word
-#: beyond them is read as it stands.
-MAX_WORDS, MAX_HEADS = 400_000, 100_000
+#: A word counts as one if it stands so often in all texts; a line is no head if it is longer than so many characters.
+LEAST_COUNT, HEAD_CHARS = 3, 80
 #: What scanners read (left) for what was printed (right).
 CONFUSIONS = (
     ("rn", "m"), ("ri", "n"), ("ii", "u"), ("li", "h"), ("cl", "d"), ("vv", "w"), ("c", "e"), ("f", "t"), ("0", "o"), ("o", "0"), ("1", "l"), ("l", "1"), ("ı", "i"), ("l", "i"), ("i", "l"), ("1", "i"), ("i", "1"),
@@ -68,25 +68,18 @@ def closed_key(word: str) -> str:
 
 def confused(right: str, wrong: str, limit: int = 3) -> list[int] | None:
     """Places in ``wrong`` where confusions of ``CONFUSIONS`` turn ``right`` into it, at most ``limit``; None if they can't."""
-    best: dict[tuple[int, int], list[int] | None] = {}
-
-    def walk(i: int, j: int) -> list[int] | None:
-        if (i, j) in best:
-            return best[i, j]
-        found: list[int] | None = [] if i == len(right) and j == len(wrong) else None
-        if i < len(right) and j < len(wrong):
-            if right[i] == wrong[j]:
-                found = walk(i + 1, j + 1)
-            for w, r in _BY_RIGHT.get(right[i], ()):
-                if wrong.startswith(w, j) and right.startswith(r, i):
-                    rest = walk(i + len(r), j + len(w))
-                    if rest is not None and (found is None or len(rest) + 1 < len(found)):
-                        found = [j, *rest]
-        best[i, j] = found
-        return found
-
-    out = walk(0, 0) if len(right) <= 60 and len(wrong) <= 60 else None
-    return out if out and len(out) <= limit else None
+    ways: dict[tuple[int, int], list[int]] = {(0, 0): []}
+    for i in range(len(right)):
+        for j in sorted(j for (k, j) in ways if k == i):
+            places = ways.pop((i, j))
+            steps = [(1, 1, places)] if wrong[j : j + 1] == right[i] else []
+            if len(places) < limit:
+                steps += [(len(r), len(w), [*places, j]) for w, r in _BY_RIGHT.get(right[i], ()) if wrong.startswith(w, j) and right.startswith(r, i)]
+            for di, dj, new in steps:
+                have = ways.get((i + di, j + dj))
+                if have is None or len(new) < len(have):
+                    ways[i + di, j + dj] = new
+    return ways.get((len(right), len(wrong))) or None
 
 
 @dataclass
@@ -95,12 +88,13 @@ class Lexicon:
 
     counts: dict[str, int]
     heads: frozenset[str] = frozenset()
+    total: int = 0
     keys: dict[str, list[str]] = field(default_factory=dict)
     cache: dict[str, tuple[str, list[int]] | None] = field(default_factory=dict)
 
     def __post_init__(self):
-        self.total = max(1, sum(self.counts.values()))
-        for w in sorted(self.counts, key=lambda w: -self.counts[w]):
+        self.total = max(1, self.total or sum(self.counts.values()))
+        for w in sorted(self.counts, key=lambda w: (-self.counts[w], w)):
             self.keys.setdefault(closed_key(w), []).append(w)
 
     def cost(self, word: str) -> float:
@@ -149,7 +143,7 @@ def head_key(line: str) -> str | None:
     """
     s = line.strip(" \t\r\x0c")
     letters = re.sub(r"[\d\W_]+", "", s)
-    if len(letters) < 4 or len(s) > 80 or s[-1] in ".,;:!?-¬­" or not re.match(r"[\W\d]*[A-ZÀ-ÞlI5|0]", s) or re.match(r"^\s*(?:[-*•]\s|```|\d+[.)]\s)", s):
+    if len(letters) < 4 or len(s) > HEAD_CHARS or s[-1] in ".,;:!?-¬­" or not re.match(r"[\W\d]*[A-ZÀ-ÞlI5|0]", s) or re.match(r"^\s*(?:[-*•]\s|```|\d+[.)]\s)", s):
         return None
     return canon(re.sub(r"[^\w|]+", " ", re.sub(r"(?<![\w|])[\dlIO|oSB]*\d[\dlIO|oSB]*(?![\w|])", " ", s)).strip()) or None
 
@@ -222,10 +216,17 @@ def decode(text: str, lex: Lexicon) -> Decoded:
                 offer(i, i + 1, sum(lex.cost(r[0] if r else p) for p, r in zip(parts, reads, strict=True)) + 6, [(line, pre + fixed + post)], {(line, "misread")})
             cost = lex.cost(low) if len(parts) < 2 else sum(map(lex.cost, parts))
             offer(i, i + 1, cost, [(line, tok)], set())
-            if low not in lex.counts and low.isalpha() and 6 <= len(low) <= 40:
-                for k in range(3, len(low) - 2):  # a lost space
-                    if min(lex.counts.get(low[:k], 0), lex.counts.get(low[k:], 0)) >= 50:
-                        offer(i, i + 1, lex.cost(low[:k]) + lex.cost(low[k:]) + 8, [(line, pre + core[:k]), (line, core[k:] + post)], set())
+            if low not in lex.counts and low.isalnum() and not low.isdigit() and len(low) >= 6:
+                for k in range(3, len(low) - 2):  # a lost space, with a misread half at most
+                    halves = [(low[:k], core[:k]), (low[k:], core[k:])]
+                    seen = [lex.counts.get(x, 0) >= 50 for x, _ in halves]
+                    if not any(seen):
+                        continue
+                    reads = [None if ok else lex.reading(x) for ok, (x, _) in zip(seen, halves, strict=True)]
+                    if all(ok or r and lex.counts.get(r[0], 0) >= 50 for ok, r in zip(seen, reads, strict=True)):
+                        shown = [_case(c, r[0]) if r else c for (_, c), r in zip(halves, reads, strict=True)]
+                        cost = sum(lex.cost(r[0] if r else x) for (x, _), r in zip(halves, reads, strict=True)) + 8 + 5 * sum(r is not None for r in reads)
+                        offer(i, i + 1, cost, [(line, pre + shown[0]), (line, shown[1] + post)], {(line, "misread")} if any(reads) else set())
         else:
             offer(i, i + 1, lex.cost(word[0]) + 5, [(line, pre + _case(core, word[0]) + post)], {(line, "misread")})
             offer(i, i + 1, lex.cost(low) + 12, [(line, tok)], set())
@@ -257,8 +258,11 @@ def decode(text: str, lex: Lexicon) -> Decoded:
         elif core and not post and low.isalpha() and low not in lex.counts and line == line2:
             _, core2, post2 = _CORE.match(tok2).groups()
             joined = (core + core2).lower()
-            if core2.isalpha() and core2.lower() not in lex.counts and lex.counts.get(joined, 0) >= 5:  # a stray space
-                offer(i, i + 2, lex.cost(joined) + 4, [(line, pre + core + core2 + post2)], set())
+            if core2.isalpha() and core2.lower() not in lex.counts:  # a stray space, and perhaps a misread word
+                if lex.counts.get(joined, 0) >= 5:
+                    offer(i, i + 2, lex.cost(joined) + 4, [(line, pre + core + core2 + post2)], set())
+                elif (hit := lex.reading(joined)) and hit[0] in lex.counts:
+                    offer(i, i + 2, lex.cost(hit[0]) + 9, [(line, pre + _case(core + core2, hit[0]) + post2)], {(line, "misread")})
     path: list[list[tuple[int, str]]] = []
     j = n
     while j:
@@ -303,19 +307,18 @@ def paragraphs(text: str, d: Decoded) -> list[str]:
         return g - (1.0 if any(d.kinds[j] in ("header", "page_number") for j in range(a + 1, b)) else 0.0)
 
     score, prev = [0.0] * (len(rows) + 1), [0] * (len(rows) + 1)
-    reach = 400  # longest paragraph in lines that the search considers before it must break
     gains = [0.0] + [gain(k) for k in range(1, len(rows))]
+    far = -1  # the best begin of a paragraph of two lines or more; what it gained does not depend on where it ends
     for e in range(1, len(rows) + 1):
-        score[e] = -math.inf
         last = said.get(rows[e - 1], [])
         open_end = not (last and last[-1].rstrip("\"')]”»")[-1:] in (".", "!", "?", ":"))
-        cut = gains[e] if e < len(rows) else 0.0
-        for s in range(e - 1, max(-1, e - 1 - reach), -1):
-            v = score[s] + cut - (1.0 if e - s == 1 and open_end else 0.0)
-            if v > score[e]:
-                score[e], prev[e] = v, s
-            if s > 0 and gains[s] > 2.5 and e - s > 2:
-                break  # a clear boundary: no paragraph reaches over it
+        s = e - 1
+        near = score[s] - (1.0 if open_end else 0.0)
+        if far >= 0 and score[far] > near:
+            s, near = far, score[far]
+        score[e], prev[e] = near + (gains[e] if e < len(rows) else 0.0), s
+        if far < 0 or score[e - 1] >= score[far]:
+            far = e - 1
     bounds, e = [], len(rows)
     while e:
         bounds.append((prev[e], e))
@@ -336,15 +339,35 @@ def scanned_texts(results: DataFrame, events: DataFrame) -> DataFrame:
     return a.unionByName(s).where(F.length(F.trim("text")) > 0)
 
 
-def lexicon(texts: DataFrame) -> Lexicon:
-    """The word counts and running heads of all texts.
+def keys_of(text: str) -> set[str]:
+    """The keys of all strings that ``decode`` may look up for a text: tokens, their parts, halves and joins."""
+    lines = text.split("\n")
+    rows = [[_CORE.match(t).group(2).lower() for t in _TOKEN.findall(x.replace("\x0c", " "))] for x in lines]
+    strings: set[str] = set()
+    for i, row in enumerate(rows):
+        after = []
+        for j in range(i + 1, len(rows)):  # what a word divided at the line's end may go on with: lines between may be set aside
+            after += rows[j][:1]
+            if rows[j] and not page_number(lines[j]) and head_key(lines[j]) is None:
+                break
+        for k, core in enumerate(row):
+            strings |= {core, *re.split(r"[-_'/.,:]", core)}
+            for x in row[k + 1 : k + 2] if k + 1 < len(row) else after:
+                strings |= {core + x, f"{core}-{x}"}
+            if core.isalnum():
+                strings |= {x for c in range(3, len(core) - 2) for x in (core[:c], core[c:])}
+    return {closed_key(x) for x in strings if x}
+
 
-    Words divided at a line's end are left out of the counts. The counting is distributed; the words seen 3 times or
-    more, up to ``MAX_WORDS``, and the heads that recur within texts, up to ``MAX_HEADS``, come to the driver.
-    """
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(w, n) of every word seen ``LEAST_COUNT`` times or more; words divided at a line's end are left out."""
     whole = F.regexp_replace("text", rf"\S+[{_HYPHENS}][ \t\r]*\n\s*\S+", " ")
     words = texts.select(F.explode(F.regexp_extract_all(F.lower(whole), F.lit(WORD), 0)).alias("w"))
-    counts = words.where(F.length("w") <= 60).groupBy("w").agg(F.count("*").alias("n")).where("n >= 3").orderBy(F.desc("n"), "w").limit(MAX_WORDS).collect()
+    return words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_COUNT)
+
+
+def running_heads(texts: DataFrame) -> DataFrame:
+    """(head) keys of lines that recur within two texts or more."""
 
     def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -352,10 +375,9 @@ def lexicon(texts: DataFrame) -> Lexicon:
             for t in pdf["text"]:
                 seen = Counter(k for k in map(head_key, t.split("\n")) if k)
                 out.update(k for k, n in seen.items() if n >= 2)
-            yield pd.DataFrame({"key": list(out), "n": list(out.values())}).astype({"key": "object", "n": "int64"})
+            yield pd.DataFrame({"head": list(out), "n": list(out.values())}).astype({"head": "object", "n": "int64"})
 
-    again = texts.select("text").mapInPandas(heads, "key string, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n >= 2")
-    return Lexicon({r.w: r.n for r in counts}, frozenset(r.key for r in again.orderBy(F.desc("n"), "key").limit(MAX_HEADS).collect()))
+    return texts.select("text").mapInPandas(heads, "head string, n long").groupBy("head").agg(F.sum("n").alias("n")).where("n >= 2").select("head")
 
 
 _lexicons: dict[int, Lexicon] = {}
@@ -366,31 +388,60 @@ def _shared(broadcast) -> Lexicon:
     key = id(broadcast.value)
     if key not in _lexicons:
         _lexicons.clear()
-        counts, heads = broadcast.value
-        _lexicons[key] = Lexicon(counts, heads)
+        _lexicons[key] = Lexicon(*broadcast.value)
     return _lexicons[key]
 
 
+def own_words(texts: DataFrame, counts: DataFrame, heads: DataFrame) -> DataFrame:
+    """``texts`` plus ``words`` (w, n) and ``heads``: of the lexicon and the heads what a text's own keys ask for.
+
+    A join by key with split hot keys; what a text is handed is bounded by its own length.
+    """
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r, t in zip(pdf["record_id"], pdf["text"], strict=True):
+                found = [(r, k, False) for k in keys_of(t)] + [(r, k, True) for k in {head_key(x) for x in t.split("\n")} if k]
+                yield pd.DataFrame(found, columns=["record_id", "key", "is_head"])
+
+    @F.pandas_udf("string")
+    def keyed(words: pd.Series) -> pd.Series:
+        return words.map(closed_key)
+
+    table = counts.select(keyed("w").alias("key"), F.lit(False).alias("is_head"), "w", "n").unionByName(heads.select(F.col("head").alias("key"), F.lit(True).alias("is_head"), F.lit(None).cast("string").alias("w"), F.lit(None).cast("long").alias("n")))
+    asked = texts.mapInPandas(ask, "record_id string, key string, is_head boolean")
+    mine = salted_join(asked, table, ["key", "is_head"]).groupBy("record_id").agg(
+        F.collect_list(F.when(~F.col("is_head"), F.struct("w", "n"))).alias("words"), F.collect_list(F.when(F.col("is_head"), F.col("key"))).alias("heads")
+    )
+    return texts.join(mine, "record_id", "left")
+
+
 def clean(results: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(noise, paragraphs): (record_id, line_no, noise) and (record_id, paragraph, text) of every scanned text.
 
-    Every line of every text is decoded. Empty tables give empty results; columns other than those named are ignored.
+    Every line of every text is decoded, with all words of the lexicon. Empty tables give empty results; columns other
+    than those named are ignored.
     """
     texts = materialize(scanned_texts(results, events), "scans")
     many = spread(texts)
-    lex = lexicon(many)
-    shared = results.sparkSession.sparkContext.broadcast((lex.counts, lex.heads))
+    counts, heads = materialize(word_counts(many), "words"), materialize(running_heads(many), "heads")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    if small_enough(counts) and small_enough(heads):
+        shared = results.sparkSession.sparkContext.broadcast(({r.w: r.n for r in counts.collect()}, frozenset(r.head for r in heads.collect()), total))
+        lexicons = lambda pdf: (_shared(shared) for _ in range(len(pdf)))
+    else:
+        many = own_words(many, counts, heads)
+        pairs = lambda x: () if x is None else x
+        lexicons = lambda pdf: (Lexicon({w["w"]: w["n"] for w in pairs(ws)}, frozenset(pairs(hs)), total) for ws, hs in zip(pdf["words"], pdf["heads"], strict=True))
 
     def noise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            lx = _shared(shared)
-            rows = [(r, i, k) for r, t in zip(pdf["record_id"], pdf["text"], strict=True) for i, k in sorted(decode(t, lx).noise)]
+            rows = [(r, i, k) for r, t, lx in zip(pdf["record_id"], pdf["text"], lexicons(pdf), strict=True) for i, k in sorted(decode(t, lx).noise)]
             yield pd.DataFrame(rows, columns=["record_id", "line_no", "noise"])
 
     def repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            lx = _shared(shared)
-            rows = [(r, k, p) for r, t in zip(pdf["record_id"], pdf["text"], strict=True) for k, p in enumerate(paragraphs(t, decode(t, lx)))]
+            rows = [(r, k, p) for r, t, lx in zip(pdf["record_id"], pdf["text"], lexicons(pdf), strict=True) for k, p in enumerate(paragraphs(t, decode(t, lx)))]
             yield pd.DataFrame(rows, columns=["record_id", "paragraph", "text"])
 
     return many.mapInPandas(noise, "record_id string, line_no int, noise string"), many.mapInPandas(repair, "record_id string, paragraph int, text string")

@@ -81,6 +81,29 @@ def test_round_trip_of_made_noise(spark):
     assert sum(back[k] == v for k, v in paras.items()) >= 0.9 * len(paras)
 
 
+@pytest.mark.parametrize(("text", "noise", "words"), [("mergedrnessages remain", {(0, "misread")}, "merged messages remain"), ("the rnes sages and", {(0, "misread")}, "the messages and"), ("mergedmessages remain", set(), "merged messages remain")])
+def test_split_and_join_with_a_confusion(text, noise, words):
+    d = scans.decode(text, lex())
+    assert d.noise == noise and " ".join(w for _, w in d.words) == words
+
+
+def test_long_words_and_long_paragraphs():
+    long = "".join(VOCAB) * 3
+    wrong = long[:150].replace("m", "rn", 1) + long[150:]
+    assert scans.Lexicon({long: 100}).reading(wrong)[0] == long
+    text = "\n".join(f"worker {k} stores merged pages and the" for k in range(1500)) + "\nindex."
+    assert len(scans.paragraphs(text, scans.decode(text, lex()))) == 1
+
+
+def test_a_lexicon_of_any_size_reads_alike(spark, sf, monkeypatch):
+    tables = [spark.read.parquet(f"{sf}/{t}.parquet") for t in ("analyze_results", "eval_events")]
+    rows = lambda dfs: [sorted(map(tuple, df.collect())) for df in dfs]
+    want = rows(scans.clean(*tables))
+    assert len(want[0]) > 100
+    monkeypatch.setattr(scans, "small_enough", lambda df: False)
+    assert rows(scans.clean(*tables)) == want
+
+
 def test_empty_tables(spark):
     noise, text = scans.clean(spark.createDataFrame([], RES), spark.createDataFrame([], EVENT))
     assert noise.count() == 0 and text.count() == 0
