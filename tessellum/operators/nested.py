@@ -6,8 +6,8 @@ The work has three distributed steps:
    ``groupBy``; what comes back to the driver is the *merged schema* (one row per path, bounded by ``max_paths``).
 2. ``canonical``: each record is rewritten to that schema. A list is an array of ``(pos, item)`` whatever its writer
    used - an array, a lone value, JSON inside a string, an object with numeric keys.
-3. ``child_table``: ``from_json`` with the merged ``StructType`` and one ``explode`` for each array level; every child
-   carries its parent's surrogate key and its ordinal.
+3. ``flatten``: ``from_json`` with the merged ``StructType`` and, recursively, one ``explode`` for each array level of the
+   schema; every child carries its parent's surrogate key and its ordinal, and every field of the schema is a column.
 """
 
 from __future__ import annotations
@@ -79,7 +79,7 @@ def as_list(value) -> list[tuple[int, object]]:
 def record(line: str | None, id_field: str) -> dict | None:
     """The innermost object of a line that holds ``id_field``; objects around it are envelopes."""
     value = parse(line)
-    for _ in range(8):
+    while True:  # every round goes one object inwards
         value = decoded(value)
         if not isinstance(value, dict):
             return None
@@ -90,7 +90,6 @@ def record(line: str | None, id_field: str) -> dict | None:
         if len(inside) != 1:
             return None
         value = inside[0]
-    return None
 
 
 def _kind(value) -> str:
@@ -104,35 +103,38 @@ def _kind(value) -> str:
     return "object" if isinstance(value, dict) else "boolean" if isinstance(value, bool) else "number" if isinstance(value, int | float) else "string"
 
 
-def _walk(value, path: str, out: Counter, depth: int, opaque: tuple[str, ...]) -> None:
+def _walk(value, path: str, out: Counter, opaque: tuple[str, ...]) -> None:
     kind = _kind(value)
     out[path, kind] += 1
-    if depth == 0 or path.replace("[]", "") in opaque:
+    if path.replace("[]", "") in opaque:
         return
     value = decoded(value)
     if kind.startswith("list"):
         for _, x in as_list(value):
-            _walk(x, path + "[]", out, depth - 1, opaque)
+            _walk(x, path + "[]", out, opaque)
     elif kind.startswith("object"):
         for k, v in value.items():
-            _walk(v, f"{path}.{snake(k)}", out, depth - 1, opaque)
+            _walk(v, f"{path}.{snake(k)}", out, opaque)
 
 
-def profile_paths(df: DataFrame, text: str, id_field: str = "id", opaque: tuple[str, ...] = (), depth: int = 12) -> DataFrame:
+def profile_paths(df: DataFrame, text: str, id_field: str = "id", opaque: tuple[str, ...] = ()) -> DataFrame:
     """(path, kind, records): how often each kind of value stands at each path of the records in ``text``.
 
-    Below the paths of ``opaque`` nothing is walked (free-form arguments). Lines that hold no record count nowhere; an
-    empty table gives an empty profile.
+    Below the paths of ``opaque`` nothing is walked (free-form arguments). Lines that hold no record count nowhere, and
+    neither do those nested beyond the interpreter's recursion, some hundred levels; an empty table gives an empty profile.
     """
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
         for pdf in batches:
             for line in pdf[text]:
-                rec = record(line, id_field)
-                if rec is not None:
-                    for k, v in rec.items():
-                        _walk(v, snake(k), seen, depth, opaque)
+                rec, mine = record(line, id_field), Counter()
+                try:
+                    for k, v in (rec or {}).items():
+                        _walk(v, snake(k), mine, opaque)
+                except RecursionError:
+                    continue
+                seen.update(mine)
             if len(seen) > 100_000:
                 yield pd.DataFrame([(p, k, n) for (p, k), n in seen.items()], columns=["path", "kind", "records"])
                 seen.clear()
@@ -202,9 +204,16 @@ def _shape(value, node: Node, in_list: bool = False):
 def canonical(line: Column, schema: Node, id_field: str = "id") -> Column:
     """The record of a line as JSON text in the merged schema, or null where the line holds no record."""
 
+    def one(line: str | None) -> str | None:
+        rec = record(line, id_field)
+        try:
+            return None if rec is None else json.dumps(_shape(rec, schema, True), ensure_ascii=False)
+        except RecursionError:
+            return None
+
     @F.pandas_udf(T.StringType())
     def shape(lines: pd.Series) -> pd.Series:
-        return pd.Series([None if (rec := record(x, id_field)) is None else json.dumps(_shape(rec, schema, True), ensure_ascii=False) for x in lines], dtype=object)
+        return lines.map(one).astype(object)
 
     return shape(line)
 
@@ -267,39 +276,83 @@ def child_table(parent: DataFrame, key: str, value: str, name: str) -> DataFrame
     return out.select("parent_key", F.col("x.pos").alias("pos"), F.concat_ws("/", "parent_key", F.concat(F.lit(name + ":"), F.col("x.pos"))).alias("key"), F.col("x.item").alias("item"))
 
 
-#: The lists of an evaluation event, and its free-form part.
+_LINKS = ("parent_key", "pos", "key", "order")
+
+
+def _fields(node: Node, at: str, name: str = "") -> tuple[list[Column], list[tuple[str, str, Node]]]:
+    """(a column for each scalar below a node, named by its path; (path, column, node) of each list below it)."""
+    columns, lists = [], []
+    for child, n in node.children.items():
+        path, place = f"{name}_{child}" if name else child, f"{at}.`{child}`"
+        if n.list_of:
+            lists.append((path, place, n))
+        elif n.children and not n.opaque:
+            more, below = _fields(n, place, path)
+            columns, lists = columns + more, lists + below
+        else:
+            columns.append(F.col(place).alias(f"item_{path}" if path in _LINKS else path))
+    return columns, lists
+
+
+def flatten(recs: DataFrame, schema: Node, names: dict[str, str] = {}) -> dict[str, DataFrame]:  # noqa: B006
+    """One flat table for the records and one for each array path of the schema, however deep.
+
+    ``recs`` is (key, order, rec). The table ``""`` has (key, order) and a column for each scalar, those of objects named
+    by their path; the table of an array path such as ``a_b.c`` (``_`` within objects, ``.`` from array to array) has
+    (parent_key, pos, key) and the scalars of its elements, or ``item`` where elements are no objects. An array right
+    inside an array stays JSON text. ``names`` gives the word that an array path's keys are built with.
+    """
+    tables: dict[str, DataFrame] = {}
+
+    def level(df: DataFrame, links: list[str], at: str, node: Node, path: str) -> None:
+        columns, lists = _fields(node, at)
+        tables[path] = df.select(*links, *columns) if node.children and not node.opaque else df.select(*links, F.col(at).alias("item"))
+        for name, place, child in lists:
+            below = f"{path}.{name}" if path else name
+            level(child_table(df, "key", place, names.get(below, name)), ["parent_key", "pos", "key"], "item", child, below)
+
+    level(recs, ["key", "order"], "rec", schema, "")
+    return tables
+
+
+#: The lists of an evaluation event, and its free-form part; fields that the flat tables have even where no record shows one.
 EVENT_LISTS = ("retrieved_sources", "agentic_trace.tool_calls", "agentic_trace.reflection_issues")
 EVENT_OPAQUE = ("agentic_trace.tool_calls.arguments",)
+EVENT_FIELDS = {
+    "": ("id", "timestamp", "question", "generated_answer", "model_config", "operation_type", "correlation_id"),
+    "agentic_trace": ("iterations", "reflection_score"),
+    "agentic_trace.tool_calls": ("tool_name", "arguments", "result_preview", "success"),
+    "retrieved_sources": ("text", "page", "score"),
+}
+_EVENT_NAMES = {"retrieved_sources": "source", "agentic_trace_tool_calls": "tool_call", "agentic_trace_reflection_issues": "issue"}
 
 
 def event_tables(lines: DataFrame, text: str = "line", order: str = "line_no") -> dict[str, DataFrame]:
-    """events, sources, tool_calls, issues and filters of a JSONL sink, all linked by surrogate keys.
+    """events, sources, tool_calls, issues and filters of a JSONL sink, all linked by surrogate keys, and a table for
+    each other array that any writer put anywhere, under its path.
 
-    Nulls in any column, blank lines and empty tables give empty results; extra columns of ``lines`` are ignored.
+    Every field that a record has is a column of one of them. Nulls in any column, blank lines and empty tables give
+    empty results; extra columns of ``lines`` are ignored.
     """
     lines = spread(lines.select(text, order))
     schema = merged_schema(profile_paths(lines, text, opaque=EVENT_OPAQUE), EVENT_LISTS, EVENT_OPAQUE)
-    calls = schema.children["agentic_trace"].children["tool_calls"]
-    for name in ("tool_name", "arguments", "result_preview", "success"):
-        calls.children.setdefault(name, Node())
-    sources = schema.children["retrieved_sources"]
-    for name in ("text", "page", "score"):
-        sources.children.setdefault(name, Node())
-    for name in ("id", "timestamp", "question", "generated_answer", "model_config", "operation_type", "correlation_id"):
-        schema.children.setdefault(name, Node())
-    for name in ("iterations", "reflection_score"):
-        schema.children["agentic_trace"].children.setdefault(name, Node())
-    calls.children["arguments"] = Node(opaque=True)
+    for path, fields in EVENT_FIELDS.items():
+        node = schema
+        for part in filter(None, path.split(".")):
+            node = node.children[part]
+        for name in fields:
+            node.children.setdefault(name, Node(opaque=name == "arguments"))
     recs = materialize(records(lines, text, order, schema), "nested")  # parsed once for all children
-    flat = [c for c, n in schema.children.items() if not n.list_of and not n.children and c != "id"]
-    tool_calls = child_table(recs, "key", "rec.agentic_trace.tool_calls", "tool_call")
-    found = tool_calls.select("key", F.col("pos").alias("call_pos"), F.col("parent_key").alias("event_id"), lists_under(F.col("item.arguments"), "filters").alias("found"))
+    tables = flatten(recs, schema, _EVENT_NAMES)
+    events, sources, calls, issues = (tables.pop(k) for k in ("", *_EVENT_NAMES))
+    found = calls.select("key", F.col("pos").alias("call_pos"), F.col("parent_key").alias("event_id"), lists_under(F.col("arguments"), "filters").alias("found"))
     filters = found.select("event_id", "call_pos", F.col("key").alias("parent_key"), F.explode("found").alias("x")).select("event_id", "call_pos", "parent_key", F.col("x.pos").alias("pos"), F.col("x.item").alias("item"))
-    return {
-        "events": recs.select(F.col("key").alias("event_id"), F.col("order").alias("line_no"), *[F.col(f"rec.`{c}`").alias(c) for c in flat], F.col("rec.agentic_trace.iterations").cast("int").alias("iterations"), F.col("rec.agentic_trace.reflection_score").cast("double").alias("reflection_score")),
-        "sources": child_table(recs, "key", "rec.retrieved_sources", "source").select("parent_key", "pos", "key", F.col("item.text").alias("text"), F.col("item.page").try_cast("int").alias("page"), F.col("item.score").try_cast("double").alias("score")),
-        "tool_calls": tool_calls.select("parent_key", "pos", "key", *[F.col(f"item.{c}").alias(c) for c in ("tool_name", "arguments", "result_preview", "success")]),
-        "issues": child_table(recs, "key", "rec.agentic_trace.reflection_issues", "issue"),
+    events = events.drop("id").withColumnsRenamed({"key": "event_id", "order": "line_no", "agentic_trace_iterations": "iterations", "agentic_trace_reflection_score": "reflection_score"})
+    return tables | {
+        "events": events.withColumns({"iterations": F.col("iterations").try_cast("int"), "reflection_score": F.col("reflection_score").try_cast("double")}),
+        "sources": sources.withColumns({"page": F.col("page").try_cast("int"), "score": F.col("score").try_cast("double")}),
+        "tool_calls": calls,
+        "issues": issues,
         "filters": filters,
     }
 

@@ -73,6 +73,34 @@ def test_merged_schema_refuses_free_form_keys(spark):
     assert nested.merged_schema(nested.profile_paths(df, "line", opaque=("m",)), opaque=("m",), max_paths=20).children["m"].opaque
 
 
+def test_every_array_path_and_every_field_has_its_place(spark):
+    call = {"tool_name": "t", "latency": 5, "hops": [{"host": "h1", "tries": [1, 2]}, {"host": "h2"}]}
+    lines = [
+        json.dumps({"id": "a", "tags": ["x", None, "z"], "client": {"os": "linux", "key": "k", "plugins": [{"name": "p", "grid": [[1, 2], [3]]}]}, "retrieved_sources": [{"text": "s", "lang": "de"}], "agentic_trace": {"mood": "calm", "tool_calls": [call]}}),
+        json.dumps({"id": "b", "tags": "lone"}),
+    ]
+    t = nested.event_tables(spark.createDataFrame([(i, x, "") for i, x in enumerate(lines)], SCHEMA))
+    rows = lambda name, *cols: sorted(tuple(r[c] for c in cols) for r in t[name].collect())
+    assert rows("tags", "parent_key", "pos", "item") == [("a", 0, "x"), ("a", 2, "z"), ("b", 0, "lone")]
+    assert rows("client_plugins", "parent_key", "pos", "name") == [("a", 0, "p")]
+    assert rows("client_plugins.grid", "parent_key", "pos", "item") == [("a/client_plugins:0", 0, "[1, 2]"), ("a/client_plugins:0", 1, "[3]")]
+    assert rows("agentic_trace_tool_calls.hops", "key", "host") == [("a/tool_call:0/hops:0", "h1"), ("a/tool_call:0/hops:1", "h2")]
+    assert rows("agentic_trace_tool_calls.hops.tries", "parent_key", "pos", "item") == [("a/tool_call:0/hops:0", 0, "1"), ("a/tool_call:0/hops:0", 1, "2")]
+    assert rows("sources", "lang") == [("de",)] and rows("tool_calls", "latency") == [("5",)]
+    event = next(r for r in t["events"].collect() if r.event_id == "a")
+    assert (event.client_os, event.client_key, event.agentic_trace_mood) == ("linux", "k", "calm")
+
+
+def test_deep_envelopes_and_deep_nesting(spark):
+    rec: dict = {"id": "a", "retrieved_sources": [1], "deep": 1}
+    for _ in range(40):
+        rec["deep"] = {"d": rec["deep"]}
+    line = json.dumps(rec)
+    for _ in range(30):
+        line = json.dumps({"payload": json.loads(line)})
+    assert found(spark, [line, "[" * 5000 + "]" * 5000]) == {("a", "source", -1, 0)}
+
+
 def test_whole_table_against_plain_python(spark, sf):
     df = spark.read.parquet(f"{sf}/eval_jsonl.parquet")
     best: dict = {}
