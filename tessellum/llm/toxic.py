@@ -34,6 +34,8 @@ THRESHOLDS = (0.5, 0.5, 0.5)
 #: Training passes after the first, each by the score that a case document's best window needs at least to be believed;
 #: the share of ordinary windows that it must exceed; and the ordinary windows of a pass besides those that look like cases.
 CREDIT, RARE, EASY = (0.02, 0.1, 0.3), 0.998, 12_000
+#: A case of one category is left open for another that scores so high; else it is taught as none of the other.
+BOTH = 0.9
 #: Windows of a training step, and the steps that a pass takes at least, however few windows there are.
 BATCH, STEPS = 192, 150
 
@@ -334,9 +336,9 @@ def train(ordinary: list[list[str]], cases: list[tuple[str, list[list[str]]]], s
 
     ``ordinary`` are windows of documents judged ``none``; ``cases`` are (category, windows) of the others, of which at
     least one window is a case, it is not said which. The first pass learns the seeds against ordinary windows. In each
-    pass after it the best window of a case document, by the network so far, is taught as a case of its category (of the
-    others it is not said whether they hold), if the network gives it some credit, more in each pass: wrong judgements
-    exist. Ordinary windows are taught as none, all those that the network takes for cases and some others. In the last
+    pass after it the best window of a case document, by the network so far, is taught as a case of its category and of
+    no other (unless the network insists, after the first such pass, that another holds too), if the network gives it
+    some credit, more in each pass: wrong judgements exist. Ordinary windows are taught as none, all those that the network takes for cases and some others. In the last
     pass ordinary windows that still look like cases against all teaching count as wrongly judged and are left out.
     """
     rng, vocab = np.random.default_rng(seed), Vocabulary()
@@ -360,13 +362,12 @@ def train(ordinary: list[list[str]], cases: list[tuple[str, list[list[str]]]], s
         if k and sets:
             s, usual = scorer.windows(every), np.quantile(marks, RARE, axis=0) if len(marks) else np.zeros(len(CATEGORIES))
             best = np.array([bounds[i] + int(s[bounds[i] : bounds[i + 1], c].argmax()) for i, (c, _) in enumerate(sets)])
-            y = (s[best] > 0.5).astype(np.float32)
-            w = np.where(y > 0, 0.5, 0.0).astype(np.float32)
+            y = np.zeros((len(sets), len(CATEGORIES)), np.float32)
+            w = np.where((s[best] > BOTH) & (k > 1), 0.0, 1.5).astype(np.float32)
             for i, (c, _) in enumerate(sets):
                 believed = s[best[i], c] > max(CREDIT[k - 1], usual[c])
+                y[i, c], w[i, c] = 1, 2.0
                 w[i] *= believed
-                w[i, c] = 2.0 * believed
-                y[i, c] = 1
             parts.append((every[best], y, w))
         ids, y, w = (np.concatenate(x) for x in zip(*parts, strict=True))
         net = fit(net, vocab, ids, y, w, max(3 if k == 0 else 2, STEPS * BATCH // len(ids)), seed=seed + k, rate=0.006 if k == 0 else 0.004 / k)
