@@ -176,3 +176,36 @@ def sentences(text: Column) -> Column:
 def paragraphs(text: Column) -> Column:
     """Trimmed paragraphs between blank lines; blank ones go."""
     return F.filter(F.transform(F.split(text, "\n\n"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+
+
+def tf_cosine(a: Column, b: Column) -> Column:
+    """Cosine of the term counts of two texts, 0.0 where either has no terms."""
+    x, y = terms(a), terms(b)
+    count = lambda words, w: F.size(F.filter(words, lambda v: v == w)).cast("double")
+    squares = lambda words: F.aggregate(F.array_distinct(words), F.lit(0.0), lambda acc, w: acc + count(words, w) * count(words, w))
+    dot = F.aggregate(F.array_intersect(x, y), F.lit(0.0), lambda acc, w: acc + count(x, w) * count(y, w))
+    norm = F.sqrt(squares(x) * squares(y))
+    return F.when(norm > 0, dot / norm).otherwise(0.0)
+
+
+def share_of_terms(part: Column, whole: Column) -> Column:
+    """Share of the distinct terms of one text that another has; 0.0 where there are none."""
+    mine = F.array_distinct(terms(part))
+    return F.when(F.size(mine) > 0, F.size(F.array_intersect(mine, terms(whole))) / F.size(mine)).otherwise(0.0)
+
+
+def numbered_sources(sources: Column, title: Column) -> Column:
+    """A retrieval reply: a numbered line for each source (text, page, score) with its title, place, score and at most 800 bytes."""
+    place = lambda s: F.concat(F.lit("Page "), F.coalesce(s["page"].cast("string"), F.lit("?")))
+    label = lambda s: F.when(title.isNull(), place(s)).otherwise(F.concat(title, F.lit(" - "), place(s)))
+    short = lambda t: F.when(F.octet_length(t) <= 800, t).otherwise(F.decode(F.substring(F.encode(t, "UTF-8"), F.lit(1), _boundary(t, 800)), "UTF-8"))
+    line = lambda s, i: F.concat((i + 1).cast("string"), F.lit(". ["), label(s), F.lit(", score: "), F.format_string("%.2f", s["score"].cast("double")), F.lit("]: "), short(F.coalesce(s["text"], F.lit(""))))
+    n = F.coalesce(F.size(sources), F.lit(0))
+    return F.when(n <= 0, "No relevant documents found in the knowledge base.").otherwise(F.concat(F.lit("Found "), n.cast("string"), F.lit(" relevant sources:\n"), F.array_join(F.transform(sources, line), "\n")))
+
+
+def _boundary(text: Column, limit: int) -> Column:
+    """Bytes of the longest prefix within the limit that ends between characters: a byte of the form 10xxxxxx goes on with one."""
+    byte = lambda k: F.conv(F.hex(F.substring(F.encode(text, "UTF-8"), F.lit(k + 1), F.lit(1))), 16, 10).cast("int")
+    inside = lambda k: (byte(k) >= 128) & (byte(k) < 192)
+    return F.when(~inside(limit), limit).when(~inside(limit - 1), limit - 1).when(~inside(limit - 2), limit - 2).otherwise(limit - 3)

@@ -32,6 +32,16 @@ def fixed_chunks(docs: DataFrame, size: int = 500, overlap: int = 100) -> DataFr
     return x.select("doc_id", "chunk_index", F.col("c.text").alias("text"), F.col("c.offset").cast("long").alias("offset"), F.lit("char").alias("offset_unit"), F.lit(None).cast("double").alias("start_time"))
 
 
+def fixed_segments(docs: DataFrame, size: int = 500, overlap: int = 100) -> DataFrame:
+    """``fixed_chunks`` of segments (doc_id, texts array<string>, start): their trimmed, non-empty texts joined by spaces.
+
+    Every chunk has the start of its document's first segment.
+    """
+    kept = F.filter(F.transform("texts", lambda t: F.regexp_replace(t, r"^\s+|\s+$", "")), lambda t: t != "")
+    joined = docs.select("doc_id", F.array_join(kept, " ").alias("text"), F.col("start").alias("start_time"))
+    return fixed_chunks(joined.select("doc_id", "text"), size, overlap).drop("start_time").join(joined.select("doc_id", "start_time"), "doc_id", "left")
+
+
 def pack(sizes: list[int], limit: int, overlap: int) -> Iterator[tuple[int, int]]:
     """Runs (first, end) of units that fit into ``limit``, a separator between two counted as 1.
 

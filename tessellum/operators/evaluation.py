@@ -49,6 +49,31 @@ def score_events(events: DataFrame, judge) -> DataFrame:
     return free.unionByName(paid.select("id", "operation", tx.parse_score(judge(prompt)).alias("faithfulness")))
 
 
+def lexical_scores(events: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """(id, operation, faithfulness, relevancy, precision, below_threshold) by the terms that texts share, without a model.
+
+    ``faithfulness`` is the share of the answer's terms in its evidence: the sources, or for an agent's run with tool
+    calls their results. ``relevancy`` is the share of the question's terms in the answer. ``precision`` is the share of
+    the pieces of evidence that have a term of the answer; null for a run without calls. Ingestion events have
+    0.0 without chunks, 1.0 for chunks without samples, else the share of samples with any term; no relevancy and
+    precision. Null texts and lists are empty; NaN never occurs.
+    """
+    e = events.withColumn("operation", operation(F.col("operation_type")))
+    none = F.array().cast("array<string>")
+    sources = F.coalesce(F.transform("retrieved_sources", lambda s: F.coalesce(s["text"], F.lit(""))), none)
+    results = F.coalesce(F.transform("agentic_trace.tool_calls", lambda c: F.coalesce(c["result_preview"], F.lit(""))), none)
+    called = (F.col("operation") == "agentic_run") & (F.size(results) > 0)
+    e = e.select("id", "operation", F.coalesce("question", F.lit("")).alias("q"), F.coalesce("generated_answer", F.lit("")).alias("a"), sources.alias("sources"), called.alias("called"), F.when(called, results).otherwise(sources).alias("evidence"))
+    ingest = F.col("operation").startswith("ingestion_")
+    answer = F.array_distinct(tx.terms(F.col("a")))
+    hits = lambda texts, words: F.size(F.filter(texts, lambda t: F.arrays_overlap(tx.terms(t), words)))
+    samples = F.size(F.filter("sources", lambda t: F.size(tx.terms(t)) > 0)) / F.greatest(F.size("sources"), F.lit(1))
+    faithful = F.when(ingest, ingestion_score(F.col("a"), F.col("sources"), samples)).otherwise(tx.share_of_terms(F.col("a"), F.array_join("evidence", "\n")))
+    precise = F.when(ingest | (F.col("operation") == "agentic_run") & ~F.col("called"), F.lit(None)).when(F.size("evidence") > 0, hits(F.col("evidence"), answer) / F.size("evidence")).otherwise(0.0)
+    out = e.select("id", "operation", faithful.alias("faithfulness"), F.when(~ingest, tx.share_of_terms(F.col("q"), F.col("a"))).alias("relevancy"), precise.cast("double").alias("precision"))
+    return out.withColumn("below_threshold", F.col("faithfulness") < threshold)
+
+
 def numbered(texts: Column, label: str) -> Column:
     """Texts under numbered labels, blank lines between."""
     return F.array_join(F.transform(texts, lambda t, i: F.concat(F.lit(f"{label} "), (i + 1).cast("string"), F.lit(":\n"), F.coalesce(t, F.lit("")))), "\n\n")

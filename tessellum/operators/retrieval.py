@@ -18,11 +18,35 @@ QUERY_BLOCK = 20_000
 METRICS = ("cosine", "dot", "euclid")
 
 
+class Best:
+    """The k best of each query that a task has seen; ties go to the smaller id."""
+
+    def __init__(self, k: int):
+        self.k, self.parts = k, []
+        self.query, self.id, self.score = np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0)
+
+    def add(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        self.parts.append((query, ids, score))
+
+    def cut(self) -> None:
+        """Keep the best of what was kept and added."""
+        if not self.parts:
+            return
+        ids = np.concatenate([x[1] for x in self.parts] + ([self.id] if len(self.id) else []))
+        query, score = (np.concatenate([*(x[c] for x in self.parts), mine]) for c, mine in ((0, self.query), (2, self.score)))
+        order = np.lexsort((ids, -score, query))
+        query = query[order]
+        first = np.flatnonzero(np.r_[True, np.diff(query) != 0]) if len(query) else np.zeros(0, np.int64)
+        rank = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+        keep = rank < self.k
+        self.query, self.id, self.score, self.parts = query[keep], ids[order][keep], score[order][keep], []
+
+
 def knn(points: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, id, score, rank): exact top k for each query. ``points`` (id, vector), ``queries`` (query_id, vector).
 
-    Each task multiplies its points with a block of queries and keeps k candidates a query, so k rows per task and query
-    are shuffled, never all pairs. Higher is better (distances are negated); ties go to the smaller id. Null and invalid
+    Each task multiplies its points with a block of queries and keeps the k best of each over all its points, so k rows
+    per task and query are shuffled, never all pairs. Higher is better (distances are negated); ties go to the smaller id. Null and invalid
     vectors (not finite, or zero) match nothing; vectors of another length than the query's score 0 and are left out.
     """
     assert metric in METRICS
@@ -40,6 +64,7 @@ def knn(points: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosin
         def top(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ids, m = shared.value
             mn = np.linalg.norm(m, axis=1)
+            best = Best(k)
             for pdf in batches:
                 pdf = pdf[pdf["vector"].map(len) == m.shape[1]]
                 if pdf.empty:
@@ -55,7 +80,9 @@ def knn(points: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosin
                     n = min(k, s.shape[1])
                     edge = -np.partition(-s, n - 1, axis=1)[:, n - 1 : n]
                     i, j = np.nonzero(s >= edge)
-                    yield pd.DataFrame({"query_id": ids[at : at + 512][i], "id": pid[j], "score": s[i, j]})
+                    best.add(i + at, pid[j], s[i, j])
+                best.cut()
+            yield pd.DataFrame({"query_id": ids[best.query], "id": best.id, "score": best.score})
 
         found = pts.mapInPandas(top, schema)
         out = found if out is None else out.unionByName(found)
@@ -91,8 +118,8 @@ def text_search(docs: DataFrame, queries: DataFrame, k: int = 10, block: int = Q
     """(query_id, id, score, rank): ``sparse_search`` of texts, for query sets that grow with the documents.
 
     ``docs`` (id, text) and ``queries`` (query_id, text) have unique ids. Each task sums the weight products of its
-    documents with a block of queries over an inverted index of the batch and keeps k candidates a query, so products
-    are never shuffled. Scores are rounded to 12 digits before they are ranked; ties go to the smaller id.
+    documents with a block of queries over an inverted index of the batch and keeps the k best of each, so products are
+    never shuffled. Scores are rounded to 12 digits before they are ranked; ties go to the smaller id.
     """
     words = lambda df, key: df.select(key, tx.terms(F.col("text")).alias("words")).where(F.size("words") > 0)
     q = words(queries, "query_id").withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // block)))))
@@ -111,6 +138,7 @@ def text_search(docs: DataFrame, queries: DataFrame, k: int = 10, block: int = Q
 
         def top(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             qid, vocab, vectors = shared.value
+            best = Best(k)
             for pdf in batches:
                 pid = pdf["id"].to_numpy()
                 sizes = pdf["words"].map(len).to_numpy()
@@ -124,11 +152,14 @@ def text_search(docs: DataFrame, queries: DataFrame, k: int = 10, block: int = Q
                     s = np.zeros(len(pid))
                     for a, b, x in zip(at[t].tolist(), at[t + 1].tolist(), qw.tolist(), strict=True):
                         s[doc[a:b]] += weight[a:b] * x
-                    edge = np.partition(s, -k)[-k] - 1e-11 if len(s) > k else 0.0
+                    s = np.round(s, 12)
+                    edge = np.partition(s, -k)[-k] if len(s) > k else 0.0
                     j = np.flatnonzero((s >= edge) & (s > 0))
                     found.append((np.full(len(j), i), j, s[j]))
                 i, j, s = map(np.concatenate, zip(*found, strict=True))
-                yield pd.DataFrame({"query_id": qid[i], "id": pid[j], "score": s})
+                best.add(i, pid[j], s)
+                best.cut()
+            yield pd.DataFrame({"query_id": qid[best.query], "id": best.id, "score": best.score})
 
         scores = pts.mapInPandas(top, schema)
         out = scores if out is None else out.unionByName(scores)
@@ -156,6 +187,19 @@ def apply_threshold(results: DataFrame, threshold: float) -> DataFrame:
     return results.where(~F.isnan("score") & (F.col("score") >= threshold))
 
 
+def hybrid_search(points: DataFrame, docs: DataFrame, dense_queries: DataFrame, text_queries: DataFrame, k: int = 10, metric: str = "cosine") -> DataFrame:
+    """(query_id, id, score, rank): the fusion of a dense and a sparse branch, each with ``prefetch(k)`` candidates.
+
+    ``points`` (id, vector) and ``docs`` (id, text) are the two vectors of one collection; queries likewise. A query or a
+    point that one branch lacks is ranked by the other alone. Scores are rounded to 12 digits before the ranking.
+    """
+    p = prefetch(k)
+    dense = knn(points, dense_queries, p, metric)
+    sparse = text_search(docs, text_queries, p)
+    fused = rrf([dense, sparse], 2 * p).drop("rank")
+    return ranked(fused.withColumn("score", F.round("score", 12)), k)
+
+
 def with_fallback(queries: DataFrame, answers: DataFrame, message: str) -> DataFrame:
     """(query_id, answer) of every query, the message where it has none."""
     return queries.select("query_id").distinct().join(answers.select("query_id", "answer"), "query_id", "left").select("query_id", F.coalesce("answer", F.lit(message)).alias("answer"))
@@ -168,9 +212,9 @@ def token_budget(results: DataFrame, budget: int, tokens: Column) -> DataFrame:
 
 
 def assemble_context(results: DataFrame) -> DataFrame:
-    """(query_id, context): the texts by rank, blank lines between."""
+    """(query_id, context, chunks): the texts by rank, blank lines between, and their number."""
     x = F.array_sort(F.collect_list(F.struct("rank", "text")))
-    return results.groupBy("query_id").agg(x.alias("x")).select("query_id", F.array_join(F.col("x.text"), "\n\n").alias("context"))
+    return results.groupBy("query_id").agg(x.alias("x")).select("query_id", F.array_join(F.col("x.text"), "\n\n").alias("context"), F.size("x").cast("long").alias("chunks"))
 
 
 def zip_vectors(chunks: DataFrame, embeddings: DataFrame, key: list[str]) -> DataFrame:

@@ -47,3 +47,28 @@ def resolve(entries: DataFrame, events: DataFrame, key: str, event_key: str) ->
     j = entries.join(e, key, "left")
     missing = j.where("event is null").drop("event").withColumn("status", F.lit("failed")).withColumn("error", F.concat(F.lit("event "), F.col(key), F.lit(" not found")))
     return j.where("event is not null"), missing
+
+
+def touch(parents: DataFrame, children: DataFrame, key: str, parent_key: str, at: str = "created_at", updated: str = "updated_at") -> DataFrame:
+    """The parents with their time of update moved to that of their latest child, never back."""
+    last = children.where(F.col(parent_key).isNotNull()).groupBy(F.col(parent_key).alias(key)).agg(F.max(at).alias("_last"))
+    return parents.join(last, key, "left").withColumn(updated, F.greatest(updated, "_last")).drop("_last").select(*parents.columns)
+
+
+def two_vector_points(dense: DataFrame, sparse: DataFrame) -> DataFrame:
+    """(id, vector, terms): points with a dense and a sparse vector, either null where a point has none.
+
+    ``dense`` is (id, vector), ``sparse`` postings (id, term, weight); the sparse vector is an array of (term, weight) by term.
+    """
+    t = sparse.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("terms"))
+    return dense.select("id", "vector").join(t, "id", "full")
+
+
+def newest(df: DataFrame, at: str, key: str, n: int) -> DataFrame:
+    """The n newest rows, ties by key (a limit is what such a list is)."""
+    return df.orderBy(F.desc_nulls_last(at), key).limit(n)
+
+
+def sample_of(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """n rows in the order of a seeded digest of their keys; all where there are no more. One seed gives one sample."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessellum.functions import text as tx
 from tessellum.functions import vectors as vec
 from tessellum.operators import chunking, evaluation, files, messages, retrieval, store
-from tessellum.session import spread, table
+from tessellum.session import join_small, materialize, spread, table
 from tessellum.streaming import workers
 
 QUERIES: dict = {}
@@ -102,10 +102,7 @@ def _rounded(scores: DataFrame, digits: int = 12) -> DataFrame:
 
 def _search(spark, d, column, k):
     """Ranked by the rounded score, so that sums of another order rank alike."""
-    q = retrieval.tf_postings(_items(spark, d, column)).withColumnRenamed("id", "query_id")
-    p = retrieval.tf_postings(_docs(spark, d))
-    s = retrieval.join_small(p, q.select("query_id", "term", F.col("weight").alias("qw")), "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * F.col("qw")), 12).alias("score"))
-    return retrieval.ranked(s, k)
+    return retrieval.text_search(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), _items(spark, d, column).withColumnRenamed("id", "query_id"), k)
 
 
 @query(f"WITH postings AS ({_terms_sql(_DOCS)}) SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM ({_ranked_sql(_ITEMS, K)})")
@@ -139,9 +136,10 @@ def budgeted_context(spark, d):
 
 
 def _context(spark, d, fused):
+    fused = materialize(fused, "fused")  # k rows a query, read by the join and as its bound
     texts = table(spark, d, "documents").where(F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), "text")
-    r = retrieval.token_budget(fused.join(texts, "id"), BUDGET, tx.token_estimate(F.col("text")))
-    return retrieval.assemble_context(r).join(r.groupBy("query_id").agg(F.count("*").alias("chunks")), "query_id").select("query_id", F.md5("context").alias("context_md5"), "chunks")
+    r = retrieval.token_budget(join_small(texts, fused, "id"), BUDGET, tx.token_estimate(F.col("text")))
+    return retrieval.assemble_context(r).select("query_id", F.md5("context").alias("context_md5"), "chunks")
 
 
 # every 50th document as a query: its text, and for the fusion its lead of 200 characters too
@@ -261,7 +259,9 @@ def pruned_messages(spark, d):
     return kept.groupBy("conversation_id").agg(F.count("*").alias("messages"), F.sum(tok).alias("tokens"))
 
 
-@query()
+@query(f"""WITH m AS ({_DEDUP}), c AS (SELECT DISTINCT conversation_id, id AS message_id, c.id AS call_id FROM (SELECT conversation_id, id, unnest(from_json(content, '[{{"id": "VARCHAR"}}]')) AS c FROM m WHERE upper(trim(role)) = 'TOOL' AND json_valid(content) AND json_type(content) = 'ARRAY')),
+a AS (SELECT conversation_id, tool_call_id AS call_id, arg_max(content, (created_at, id)) AS answer FROM m WHERE upper(trim(role)) = 'TOOL_RESPONSE' GROUP BY 1, 2)
+SELECT conversation_id, count(DISTINCT message_id) AS iterations, count(*) AS calls, count(*) FILTER (coalesce(starts_with(answer, '[tool_error]') OR starts_with(answer, '[tool_timeout]'), false)) AS failed FROM c LEFT JOIN a USING (conversation_id, call_id) GROUP BY 1""")
 def conversation_traces(spark, d):
     return messages.traces(_messages(spark, d))
 
@@ -288,11 +288,11 @@ def _events(spark, d):
     return e.groupBy("id").agg(F.min_by(F.struct(*[c for c in e.columns if c != "id"]), "ts").alias("r")).select("id", "r.*")
 
 
-@query("""WITH e AS (SELECT id, list_filter(list_transform(retrieved_sources, lambda s: CASE WHEN s.score >= 0.5 THEN s.page END), lambda x: x IS NOT NULL) AS expected, list_transform(retrieved_sources[1:3], lambda s: s.page) AS pages FROM (SELECT DISTINCT ON (id) * FROM eval_events ORDER BY id, ts))
+@query("""WITH e AS (SELECT id, list_filter(list_transform(retrieved_sources, lambda s: CASE WHEN NOT isnan(s.score) AND s.score >= 0.5 THEN s.page END), lambda x: x IS NOT NULL) AS expected, list_transform(retrieved_sources[1:3], lambda s: s.page) AS pages FROM (SELECT DISTINCT ON (id) * FROM eval_events ORDER BY id, ts))
 SELECT id, round(CASE WHEN coalesce(len(expected), 0) = 0 THEN 1.0 ELSE len(list_filter(expected, lambda p: list_contains(pages, p))) / len(expected)::DOUBLE END, 6) AS recall FROM e""")
 def context_recall(spark, d):
     s = F.col("retrieved_sources")
-    expected = F.filter(F.transform(s, lambda x: F.when(~F.isnan(x["score"]) & (x["score"] >= 0.5) | F.isnan(x["score"]), x["page"])), lambda p: p.isNotNull())
+    expected = F.filter(F.transform(s, lambda x: F.when(~F.isnan(x["score"]) & (x["score"] >= 0.5), x["page"])), lambda p: p.isNotNull())
     return _events(spark, d).select("id", F.round(evaluation.context_recall(expected, F.transform(F.slice(s, 1, 3), lambda x: x["page"])), 6).alias("recall"))
 
 
@@ -315,7 +315,14 @@ def _overlap_judge(prompt):
     return F.concat(F.lit("Score: "), F.round(F.size(F.array_intersect(answer, rest)) / F.greatest(F.size(answer), F.lit(1)), 4).cast("string"), F.lit("."))
 
 
-@query()
+def _terms_of(text: str) -> str:
+    """SQL for the terms of a text that is not null."""
+    return f"list_filter(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]+'), lambda w: octet_length(encode(w)) > 1 AND w NOT IN ({_STOP}))"
+
+
+@query(f"""WITH e AS ({_E1}), p AS (SELECT id, CASE WHEN lower(trim(operation_type)) IN ('query', 'agentic_run', 'ingestion_pdf', 'ingestion_mp4') THEN lower(trim(operation_type)) ELSE 'query' END AS operation, coalesce(TRY_CAST(trim(generated_answer) AS INTEGER), 0) AS chunks, coalesce(len(retrieved_sources), 0) AS n,
+ list_distinct({_terms_of("coalesce(generated_answer, '')")}) AS a, {_terms_of("'Rate from 0 to 1 how far the sources support the answer. ' || array_to_string(list_transform(coalesce(retrieved_sources, []), lambda s, i: 'Source ' || i || ': ' || coalesce(s.text, '')), ' ')")} AS r FROM e)
+SELECT id, operation, CASE WHEN starts_with(operation, 'ingestion_') AND chunks <= 0 THEN 0.0 WHEN starts_with(operation, 'ingestion_') AND n = 0 THEN 1.0 ELSE round(len(list_intersect(a, r)) / greatest(len(a), 1)::DOUBLE, 4) END AS faithfulness FROM p""")
 def scored_events(spark, d):
     return evaluation.score_events(_events(spark, d), _overlap_judge)
 
@@ -359,7 +366,7 @@ def claimed_results(spark, d):
 # ---- streaming ----
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS bucket, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def stream_event_windows(spark, d):
-    return workers.drain(workers.window_counts(workers.read_table(spark, f"{d}/events.parquet")), "complete")
+    return workers.drain(workers.window_counts(workers.read_table(spark, f"{d}/events.parquet")), "update", ("bucket", "event_type"))
 
 
 @query("SELECT DISTINCT id FROM eval_events")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("nested_queries", "core_queries")
+MODULES = ("nested_queries", "core_queries", "rag_queries")
 
 
 def collect(package: str, modules: tuple[str, ...]) -> tuple[dict, dict]:

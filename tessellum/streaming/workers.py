@@ -19,19 +19,31 @@ def read_table(spark: SparkSession, path: str, files_per_trigger: int = 64) -> D
     return reader.option("pathGlobFilter", at.getName()).parquet(at.getParent().toString())
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
+def drain(stream: DataFrame, mode: str = "append", key: tuple[str, ...] = ()) -> DataFrame:
     """Run a stream over all that there is, into a table of the shared folder, and return that table.
 
-    ``complete`` results are written whole by every batch, each over the one before.
+    ``complete`` results are written whole by every batch, each over the one before. ``update`` results are the changed
+    rows of each batch, of which the latest of each ``key`` counts; a batch that runs again changes nothing, and what
+    the watermark has passed is no longer held in the state.
     """
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     if mode == "complete":
         q = stream.writeStream.outputMode("complete").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{base}/out"))
+    elif mode == "update":
+        q = stream.writeStream.outputMode("update").foreachBatch(lambda df, n: df.withColumn("_batch", F.lit(n)).write.mode("append").parquet(f"{base}/out"))
     else:
         q = stream.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
     q.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    if mode != "update":
+        return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    rest = [c for c in stream.columns if c not in key]
+    out = spark.read.schema(f"{_ddl(stream)}, _batch int").parquet(f"{base}/out")
+    return out.groupBy(*key).agg(F.max(F.struct("_batch", *rest)).alias("_r")).select(*key, "_r.*").select(*stream.columns)
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
 def window_counts(events: DataFrame, size: str = "1 hour", late: str = "1 day") -> DataFrame:

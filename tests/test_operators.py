@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessellum import session
+from tessellum.functions import text as tx
 from tessellum.operators import chunking, evaluation, files, messages, retrieval, store
 from tessellum.streaming import workers
 
@@ -219,3 +220,30 @@ def test_streams_equal_batch(spark, sf):
     out = workers.outbox(workers.read_table(spark, f"{sf}/eval_events.parquet"), lambda b: b.select("id"))
     ids = [r.id for r in out.collect()]
     assert len(ids) == len(set(ids)) == spark.read.parquet(f"{sf}/eval_events.parquet").select("id").distinct().count()
+
+
+def test_numbered_sources_and_term_shares(spark):
+    src = "sources array<struct<text:string,page:int,score:float>>, title string, a string, b string"
+    long = "é" * 500
+    rows = [([("one", 3, 0.5), (long, None, 0.126)], "Doc", "red red blue", "red green"), ([], None, "", None), (None, "x", "the is", "red")]
+    df = spark.createDataFrame(rows, src)
+    got = [r[0] for r in df.select(tx.numbered_sources(F.col("sources"), F.col("title"))).collect()]
+    assert got[0] == "Found 2 relevant sources:\n1. [Doc - Page 3, score: 0.50]: one\n2. [Doc - Page ?, score: 0.13]: " + "é" * 400
+    assert got[1] == got[2] == "No relevant documents found in the knowledge base."
+    cos = [r[0] for r in df.select(tx.tf_cosine(F.coalesce("a", F.lit("")), F.coalesce("b", F.lit("")))).collect()]
+    assert cos == [pytest.approx(2 / (5**0.5 * 2**0.5)), 0.0, 0.0]
+    assert [r[0] for r in df.select(tx.share_of_terms(F.col("a"), F.col("b"))).collect()] == [0.5, 0.0, 0.0]
+
+
+def test_lexical_scores_of_each_kind(spark):
+    call = "struct<tool_name:string,arguments:string,result_preview:string,success:boolean>"
+    schema = f"id string, question string, generated_answer string, operation_type string, retrieved_sources array<struct<text:string,page:int,score:float>>, agentic_trace struct<iterations:int,tool_calls:array<{call}>>"
+    s = [("red cars", 1, 0.5), ("green", 2, 0.1)]
+    rows = [
+        ("q", "red bikes", "red cars", "Query", s, None), ("i0", "f", "0", "ingestion_pdf", s, None), ("i1", "f", "12", "ingestion_pdf", [], None), ("i2", "f", "12", "ingestion_mp4", [*s, ("", 1, 0.1), (None, 1, 0.1)], None),
+        ("a0", "red", "red", "agentic_run", [("red", 1, 0.9)], (1, [])), ("a1", "red", "red sky", "agentic_run", None, (1, [("t", "{}", "a red box", True), ("t", "{}", None, False)])), ("n", None, None, None, None, None),
+    ]
+    got = {r.id: tuple(r)[1:] for r in evaluation.lexical_scores(spark.createDataFrame(rows, schema)).collect()}
+    assert got["q"] == ("query", 1.0, 0.5, 0.5, False)
+    assert got["i0"] == ("ingestion_pdf", 0.0, None, None, True) and got["i1"] == ("ingestion_pdf", 1.0, None, None, False) and got["i2"] == ("ingestion_mp4", 0.5, None, None, True)
+    assert got["a0"] == ("agentic_run", 1.0, 1.0, None, False) and got["a1"] == ("agentic_run", 0.5, 1.0, 0.5, True) and got["n"] == ("query", 0.0, 0.0, 0.0, True)

@@ -2,6 +2,7 @@ import datetime as dt
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 
 from tessellum.operators import retrieval
@@ -56,3 +57,29 @@ def test_text_search_in_blocks_equals_sparse_search(spark):
     assert rows(got) == rows(want)
     assert rows(retrieval.text_search(docs, qs, 3, block=4)) == rows(got.where("rank <= 3"))
     assert retrieval.text_search(docs, qs.limit(0)).count() == 0
+
+
+def test_best_keeps_what_a_full_sort_keeps():
+    rng = np.random.default_rng(2)
+    q, i, s = rng.integers(0, 9, 3000), rng.permutation(3000), rng.integers(0, 40, 3000).astype(float)
+    best = retrieval.Best(5)
+    for at in range(0, 3000, 170):
+        best.add(q[at : at + 170], i[at : at + 170].astype(object), s[at : at + 170])
+        best.cut()
+    want = [(int(a), -int(c), int(b)) for a in range(9) for c, b in sorted((-s[k], i[k]) for k in np.flatnonzero(q == a))[:5]]
+    assert list(zip(best.query.tolist(), best.score.astype(int).tolist(), best.id.tolist(), strict=True)) == want
+
+
+@pytest.mark.parametrize("name", ["hybrid_search", "entry_recall", "lexical_scores", "ranked_tools", "ingested_chunks", "conversation_traces", "stream_event_windows"])
+def test_queries_equal_their_sql(spark, sf, name):
+    import __spark_entry__ as entry
+
+    tables = [p.stem for p in Path(sf).glob("*.parquet")]
+    con = duckdb.connect()
+    for t in tables:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    got = entry.queries()[name](spark, sf)
+    names = sorted(got.columns)
+    sql = con.execute(entry.oracle_sql()[name])
+    at = [[c[0] for c in sql.description].index(n) for n in names]
+    assert sorted((tuple(plain(r[n]) for n in names) for r in got.collect()), key=repr) == sorted((tuple(plain(r[k]) for k in at) for r in sql.fetchall()), key=repr)
