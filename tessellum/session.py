@@ -68,7 +68,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a ``materialize`` result that nothing will read again, such as the state before the last round."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_enough(df: DataFrame, rows: int | None = None, size: int | None = None) -> bool:
