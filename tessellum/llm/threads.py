@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessellum.session import materialize
+from tessellum.session import forget, materialize
 
 #: Roles in the order that they take at equal times.
 ROLES = ("SYSTEM", "USER", "TOOL", "TOOL_RESPONSE", "ASSISTANT")
@@ -51,7 +51,8 @@ def pointer_jump(nodes: DataFrame, max_rounds: int = 64) -> DataFrame:
         moved = state.where(F.col("up").isNotNull()).join(above, F.col("up") == F.col("a_id")).select(
             "id", F.col("a_up").alias("up"), (F.col("dist") + F.col("a_dist")).alias("dist"), F.col("a_status").alias("status"), F.col("a_root").alias("root")
         )
-        state = materialize(state.where(F.col("up").isNull()).unionByName(moved), "jump")
+        last, state = state, materialize(state.where(F.col("up").isNull()).unionByName(moved), "jump")
+        forget(last)
     cyclic = F.col("up").isNotNull()
     status = F.when(cyclic, "cycle").otherwise(F.col("status"))
     ok = status == "ok"
@@ -86,12 +87,14 @@ def _order() -> list[Column]:
     return [F.col("created_at").asc_nulls_first(), F.when(F.col("rank") == 0, 9).otherwise(F.col("rank")), F.col("id")]
 
 
-def blocks(clean: DataFrame, rows_per_block: int = 20_000) -> DataFrame:
+def blocks(clean: DataFrame, bytes_per_block: int = 128 << 20) -> DataFrame:
     """``clean`` plus ``block``: rows are range-partitioned by conversation and order, so blocks are runs of bounded size.
 
-    The result is written once, so that a block's number never changes when an executor is lost.
+    A block holds some ``bytes_per_block`` of contents, as a task does. The result is written once, so that a block's
+    number never changes when an executor is lost.
     """
-    parts = max(int(clean.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + clean.count() // rows_per_block)
+    size = clean.agg(F.sum(F.coalesce(F.octet_length("content"), F.lit(0)) + 200)).first()[0] or 0
+    parts = max(int(clean.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + size // bytes_per_block)
     ranged = clean.repartitionByRange(parts, F.col("conversation_id"), *_order())
     return materialize(ranged.withColumn("block", F.spark_partition_id()), "blocks")
 

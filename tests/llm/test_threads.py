@@ -62,7 +62,7 @@ def test_orphans_of_the_pointers_are_judged(spark, monkeypatch):
     call = '[{"id": "k", "name": "n", "arguments": "{}"}]'
     rows = [(f"{c}{i}", c, r, x, k) for c, named in (("good", "k"), ("orphan", "z"), ("unnamed", None)) for i, (r, x, k) in enumerate([("USER", "q", None), ("TOOL", call, None), ("TOOL_RESPONSE", "r", named), ("ASSISTANT", "a", None)])]
     m, _ = frames(spark, rows, [])
-    blocked = threads.blocks(threads.clean_messages(m), rows_per_block=2)
+    blocked = threads.blocks(threads.clean_messages(m), bytes_per_block=2 * 220)
     assert {r[0] for r in threads.loose(blocked).collect()} == {"orphan", "unnamed"}
     every = threads.calls
     monkeypatch.setattr(threads, "calls", lambda clean: every(clean).limit(0))
@@ -91,7 +91,7 @@ def test_unanswered_over_many_blocks(spark):
         for i, k in enumerate(ev):
             rows.append((f"{c}-{i}", f"c{c}", {"U": "USER", "A": "ASSISTANT", "x": "TOOL"}[k], "t", None, i))
     m, _ = frames(spark, rows, [])
-    blocked = threads.blocks(threads.clean_messages(m), rows_per_block=20)
+    blocked = threads.blocks(threads.clean_messages(m), bytes_per_block=20 * 220)
     assert blocked.select("block").distinct().count() > 30
     got = {r[0] for r in threads.unanswered(blocked).collect()}
     assert got == {c for c, bad in want.items() if bad}
@@ -102,7 +102,7 @@ def test_positions_of_one_hot_conversation(spark):
     order = list(range(400))
     rng.shuffle(order)
     m, _ = frames(spark, [(f"m{i:04d}", "hot", "USER", "t", None, i // 3) for i in order], [])
-    blocked = threads.blocks(threads.clean_messages(m), rows_per_block=10)
+    blocked = threads.blocks(threads.clean_messages(m), bytes_per_block=10 * 220)
     got = [r.id for r in threads.positions(blocked).orderBy("position").collect()]
     assert got == [f"m{i:04d}" for i in range(400)]
 
