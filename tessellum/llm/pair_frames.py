@@ -93,6 +93,9 @@ SHORT: list[list[str]] = [
     ["Both.", "Neither.", "The first one.", "The operator.", "Two of them.", "All nodes.", "Beide.", "Les deux.", "Ambos."],
 ]
 
+#: How a list begins; its last line ends without a full stop and is complete nonetheless.
+LIST_HEADS = {"en": "The steps are:\n", "de": "Die Schritte sind:\n", "fr": "Les étapes sont :\n", "es": "Los pasos son:\n"}
+
 
 def halves(families: list[list[str]], held: bool) -> list[list[str]]:
     """The families for calibration (every fifth) or those for training."""

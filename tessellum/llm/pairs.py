@@ -72,7 +72,7 @@ def features(question: str | None, answer: str | None, end: str) -> tuple[list[i
         "bias": 1.0, "no letters": float(not a), "hollow": float(hollow(answer or "")), "same": float(bool(a) and a == q), "repeats": float(bool(q) and bool(a) and not a.replace(q, "").strip()),
         "contains": float(bool(q) and q in a), "new words": min(new, 30) / 30, "all old": float(bool(a) and new == 0), "question mark": float((answer or "").strip().rstrip("\"'").endswith("?")),
         "length": min(len(a), 600) / 600, "one word": float(len(aw) == 1), "under 4": float(len(aw) < 4), "under 15": float(len(aw) < 15),
-        "other language": float(la is not None and lq is not None and la != lq and la not in asked), "asked": float(la is not None and la != lq and la in asked), "same language": float(la is not None and la == lq), f"end {end}": 1.0,
+        "other language": 3.0 * (la is not None and lq is not None and la != lq and la not in asked), "asked": float(la is not None and la != lq and la in asked), "same language": float(la is not None and la == lq), f"end {end}": 1.0,
     }
     for k, v in dense.items():
         if v:
@@ -99,7 +99,8 @@ def broken(rng: random.Random, pairs: list[tuple[str, str]], held: bool) -> list
         words = q.rstrip("?.! ").split() or ["it"]
         topic = " ".join(words[-rng.randint(2, 4) :])
         low = a[:1].lower() + a[1:]
-        good = [a, a, f"{q} {a}", f"{q}\n{a}", (tongue(decoys, langs[i]) or "{a}").format(a=a, l=low), (tongue(decoys, langs[i]) or "{a}").format(a=a, l=low), tongue(short, langs[i]) or a, a + "\n", f"Only {topic}." if langs[i] == "en" else f"{topic}.", "The steps are:\n" + "\n".join(f"{n + 1}. {' '.join(rng.choice(words) for _ in range(2))}" for n in range(rng.randint(2, 5)))]
+        steps = frames.LIST_HEADS.get(langs[i] or "en", "") + "\n".join(f"{n + 1}. {' '.join(rng.choice(words) for _ in range(2))}" for n in range(rng.randint(2, 5)))
+        good = [a, a, f"{q} {a}", f"{q}\n{a}", (tongue(decoys, langs[i]) or "{a}").format(a=a, l=low), (tongue(decoys, langs[i]) or "{a}").format(a=a, l=low), tongue(short, langs[i]) or a, a + "\n", f"Only {topic}." if langs[i] == "en" else f"{topic}.", steps if language(steps) in (None, langs[i]) and (langs[i] or "en") in frames.LIST_HEADS else a]
         out += [(q, rng.choice(good), None), (q, rng.choice(good), None)]
         kind = rng.choice(DEFECTS)
         if kind == "empty":
@@ -217,7 +218,7 @@ def _calibrated(model: Model, check: list[tuple[str, str, str | None]]) -> Model
 
 
 #: Thresholds that the calibration tries, from the lowest.
-STEPS = np.linspace(0.2, 0.95, 16)
+STEPS = np.geomspace(0.02, 0.95, 24)
 #: Broken pairs of a training step, and the steps taken at least, however few pairs there are.
 BATCH, STEPS_LEAST = 512, 600
 #: Words of which one at least stands in most refusals, to keep refusals out of the sound pairs.
@@ -239,7 +240,7 @@ def refuses(answer: str, model: Model) -> bool:
     for p, x in zip(parts, s, strict=True):
         n = len(_plain(p).split())
         courtesy = p.rstrip().endswith("?") or n <= 4
-        if not courtesy and x < 0.35 and not REFUSAL_CUE.search(p):
+        if not courtesy and x < 0.2 and not REFUSAL_CUE.search(p):
             return False
     return bool(parts)
 
