@@ -99,7 +99,7 @@ def broken(rng: random.Random, pairs: list[tuple[str, str]], held: bool) -> list
         words = q.rstrip("?.! ").split() or ["it"]
         topic = " ".join(words[-rng.randint(2, 4) :])
         low = a[:1].lower() + a[1:]
-        steps = frames.LIST_HEADS.get(langs[i] or "en", "") + "\n".join(f"{n + 1}. {' '.join(rng.choice(words) for _ in range(2))}" for n in range(rng.randint(2, 5)))
+        steps = frames.LIST_HEADS.get(langs[i] or "en", "") + "\n".join(f"{n + 1}. {' '.join(rng.choice(words) for _ in range(2))}" for n in range(rng.randint(2, 5))) + ("." if held else "")
         good = [a, a, f"{q} {a}", f"{q}\n{a}", (tongue(decoys, langs[i]) or "{a}").format(a=a, l=low), (tongue(decoys, langs[i]) or "{a}").format(a=a, l=low), tongue(short, langs[i]) or a, a + "\n", f"Only {topic}." if langs[i] == "en" else f"{topic}.", steps if language(steps) in (None, langs[i]) and (langs[i] or "en") in frames.LIST_HEADS else a]
         out += [(q, rng.choice(good), None), (q, rng.choice(good), None)]
         kind = rng.choice(DEFECTS)
