@@ -172,7 +172,7 @@ def _sides(rng: random.Random, sound: list[tuple[str, str]]) -> list[list[tuple[
     sides = []
     for held in (False, True):
         own = [p for k, p in enumerate(sound) if (k % 5 == 4) == held]
-        own += [p for k, p in enumerate(EXAMPLES) if (k // 2 % 2 == 1) == held] * (20 if not held else 5)
+        own += [p for k, p in enumerate(EXAMPLES) if (k % 2 == 1) == held] * (20 if not held else 5)
         sides.append([x for _ in range(max(1, min(8, LEAST // max(len(own), 1)))) for x in broken(rng, own, held)])
     return sides
 
