@@ -52,6 +52,11 @@ REFUSALS: list[list[str]] = [
     ["Mi spiace, non lo so.", "Non posso rispondere a questa domanda.", "Non ho informazioni su {t}."],
     ["Desculpe, não sei.", "Não posso responder a essa pergunta.", "Não tenho informações sobre {t}."],
     ["Sorry, dat weet ik niet.", "Ik kan die vraag niet beantwoorden.", "Ik heb geen informatie over {t}."],
+    ["No reply is possible from what I have here.", "No statement on {t} can be made.", "No conclusion on {t} can be drawn from the material.", "No explanation can be offered for {t}.", "No verdict can be reached on these texts.", "A reply to this cannot be derived from the passages.", "None of the texts lets me reply."],
+    ["No matching results turned up.", "No suitable entries came up for {t}.", "No useful hits were returned.", "The search returned no matches."],
+    ["No hay datos sobre {t}.", "No se ha encontrado nada sobre esto.", "Los textos no bastan para contestar."],
+    ["Aucune donnée n'est disponible à ce sujet.", "Rien n'a été trouvé pour {t}.", "Les passages ne suffisent pas pour répondre."],
+    ["Hierzu liegt mir nichts vor.", "Über {t} liegen keine Daten vor.", "Zu dieser Frage liegen uns keine Auskünfte vor.", "Dafür fehlt mir jede Grundlage."],
 ]
 #: Sound answers that open like a refusal or speak of refusing, or of what cannot be done.
 DECOYS: list[list[str]] = [

@@ -42,11 +42,11 @@ _HOLLOW_WORDS = {w for family in frames.FILLERS for f in family for w in _plain(
 
 
 def hollow(answer: str) -> bool:
-    """Whether an answer has no word, or a few and all of them words of fillers."""
+    """Whether an answer has no word, or a few and all of them words of fillers. A mere "no" is an answer."""
     if len(answer) > 80:
         return False
     words = _plain(re.sub(r"</?\w+/?>|&\w+;", " ", answer)).split()
-    return len(words) <= 4 and all(w in _HOLLOW_WORDS for w in words)
+    return len(words) <= 4 and words != ["no"] and all(w in _HOLLOW_WORDS for w in words)
 
 
 def sentences(text: str) -> list[str]:
@@ -100,13 +100,14 @@ def broken(rng: random.Random, pairs: list[tuple[str, str]], held: bool) -> list
         topic = " ".join(words[-rng.randint(2, 4) :])
         low = a[:1].lower() + a[1:]
         steps = frames.LIST_HEADS.get(langs[i] or "en", "") + "\n".join(f"{n + 1}. {' '.join(rng.choice(words) for _ in range(2))}" for n in range(rng.randint(2, 5))) + ("." if held else "")
-        good = [a, a, f"{q} {a}", f"{q}\n{a}", (tongue(decoys, langs[i]) or "{a}").format(a=a, l=low), (tongue(decoys, langs[i]) or "{a}").format(a=a, l=low), tongue(short, langs[i]) or a, a + "\n", f"Only {topic}." if langs[i] == "en" else f"{topic}.", steps if language(steps) in (None, langs[i]) and (langs[i] or "en") in frames.LIST_HEADS else a]
+        listed = steps.count("\n") > 1 and (langs[i] or "en") in frames.LIST_HEADS and language(steps) in (None, langs[i])
+        good = [a, a, f"{q} {a}", f"{q}\n{a}", (tongue(decoys, langs[i]) or "{a}").format(a=a, l=low), (tongue(decoys, langs[i]) or "{a}").format(a=a, l=low), tongue(short, langs[i]) or a, a + "\n", f"Only {topic}." if langs[i] == "en" else f"{topic}.", steps if listed else a]
         out += [(q, rng.choice(good), None), (q, rng.choice(good), None)]
         kind = rng.choice(DEFECTS)
         if kind == "empty":
             out.append((q, one(fillers), kind))
         elif kind == "copy":
-            forms = [q, q, f"> {q}", f'"{q}"', f"{q} {q}", q.upper(), q.rstrip("?"), f"Question: {q}", f"{q}\n", f"**{q}**", q.lower(), f"You asked: {q}", f"Q: {q}"]
+            forms = [q, q, f"> {q}", f'"{q}"', f"{q} {q}", q.upper(), q.rstrip("?"), f"Question: {q}", f"{q}\n", f"**{q}**", q.lower(), f"You asked: {q}", f"Q: {q}", f"{rng.choice(LEADS)}: {q.rstrip('?')}{rng.choice(['', '?', '.'])}"]
             out.append((q, rng.choice(forms), kind))
         elif kind == "refusal":
             out.append((q, (one(refusals) if rng.random() < 0.3 else tongue(refusals, langs[i]) or frames.FALLBACK).format(t=topic), kind))
@@ -122,7 +123,9 @@ def broken(rng: random.Random, pairs: list[tuple[str, str]], held: bool) -> list
         else:
             long = a if len(a) > 60 else f"{a} {other}"
             cut = long[: rng.randint(12, max(13, len(long) - 2))]
-            if ending(cut) in ("unknown", "open"):
+            if listed and rng.random() < 0.2:
+                out.append((q, f"{steps.rstrip('.')}\n{steps.count(chr(10)) + 1}{rng.choice(['', '.', '. '])}", kind))
+            elif ending(cut) in ("unknown", "open"):
                 out.append((q, cut + rng.choice(["", "", "", "…", " …", "...", " [TRUNCATED DUE TO ERROR]"]), kind))
     return out
 
@@ -157,10 +160,14 @@ def train(pairs: list[tuple[str, str]], seed: int = 11, epochs: int = 15) -> Mod
 
     Pairs (repeats once) and wordings are split first. A threshold is the lowest with which what the operator reports of
     the held-out pairs keeps ``PRECISION``, else that of the best precision. Built-in question and answer examples join
-    the pairs, on one side each. A first short fit finds pairs that refuse in other words, which are then no sound ones.
+    the pairs, on one side each. An answer that several different questions got says nothing of any of them, so it is no
+    sound one (it may refuse in words that nobody listed); a first short fit finds other pairs that refuse.
     """
     rng = random.Random(seed)
-    sound = [(q, a) for q, a in dict.fromkeys(pairs) if q and a and len(a) > 25 and ending(a) == "terminal" and _plain(q) not in _plain(a) and not REFUSAL_CUE.search(a) and (language(a) == language(q) or language(a) is None)]
+    asked: dict[str, set[str]] = {}
+    for q, a in pairs:
+        asked.setdefault(_plain(a), set()).add(_plain(q))
+    sound = [(q, a) for q, a in dict.fromkeys(pairs) if q and a and len(asked[_plain(a)]) == 1 and len(a) > 25 and ending(a) == "terminal" and _plain(q) not in _plain(a) and not REFUSAL_CUE.search(a) and (language(a) == language(q) or language(a) is None)]
     draft = _fitted(_sides(rng, sound), rng, 4)
     odd = draft.scores([features(q, a, "terminal") for q, a in sound])[:, DEFECTS.index("refusal")] > 0.5 if sound else []
     sides = _sides(rng, [p for p, x in zip(sound, odd, strict=True) if not x])
@@ -218,11 +225,17 @@ def _calibrated(model: Model, check: list[tuple[str, str, str | None]]) -> Model
 
 
 #: Thresholds that the calibration tries, from the lowest.
-STEPS = np.geomspace(0.02, 0.95, 24)
+STEPS = np.geomspace(0.002, 0.95, 40)
 #: Broken pairs of a training step, and the steps taken at least, however few pairs there are.
 BATCH, STEPS_LEAST = 512, 600
 #: Words of which one at least stands in most refusals, to keep refusals out of the sound pairs.
 REFUSAL_CUE = re.compile(r"(?i)\b(sorry|cannot|can't|unable|decline|not able|don't know|no information|no idea|afraid|outside what|enough information|nothing|leider|kann ich|keine angaben|désolé|ne peux pas|ne sais pas|préfère ne|ne permet pas|lo siento|no puedo|no lo sé|prefiero no|no dispongo)\b")
+#: How a repeated question is announced, and words that with it still say nothing but that it was asked.
+LEADS = ("Your question was", "The user asks", "Here is the question again", "I was asked this", "Ihre Frage lautet", "La question posée", "La pregunta era")
+ASKING = frozenset(
+    "q question questions query prompt request the this that your my our user you i we he she was is were asked asks ask asking here again following repeat repeated"
+    " frage anfrage ihre deine die der das lautet lautete ist war sie fragten votre la le une est était posée demande vous avez demandé su tu era es pregunta consulta usted preguntó".split()
+)
 #: Sound pairs in several languages.
 EXAMPLES = (
     ("How does the cache decide which entries to drop?", "The cache drops the entries that were read least in the last hour."), ("When is the report rebuilt?", "The report is rebuilt every night after the import. It takes about 40 minutes."),
@@ -251,7 +264,7 @@ def holds(name: str, question: str, answer: str, end: str, model: Model) -> bool
         return hollow(answer)
     if name == "copy":
         a, q = _plain(answer), _plain(question)
-        return bool(q and a) and not re.sub(r"^(question|q|you asked|your question|prompt|frage|pregunta)\b", "", a.replace(q, "")).strip()
+        return bool(q and a) and q in a and all(w in ASKING for w in a.replace(q, " ").split())
     if name == "refusal":
         return refuses(answer, model)
     if name == "wrong_language":

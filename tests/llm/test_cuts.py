@@ -86,3 +86,18 @@ def test_events_end_to_end(spark):
     rates = {(r.field, r.source): (r["values"], r.cut) for r in cuts.cut_rates(df).collect()}
     assert rates["generated_answer", "model-a"][0] == 400 and rates["result_preview", "files"] == (800, 0)
     assert cuts.cut_values(df.limit(0)).count() == 0
+
+
+def test_repeated_cuts_do_not_vouch_for_each_other(spark):
+    from tessellum.llm.endings import with_ending
+
+    rng = random.Random(2)
+    whole = lambda: f"The {rng.choice(['cache', 'queue', 'index'])} drops {rng.choice(['old rows', 'blank pages', 'failed jobs'])} in step {rng.randint(1, 99)}."
+    texts = [("whole", " ".join(whole() for _ in range(3))) for _ in range(4000)]
+    texts += [("list", "The steps are:\n1. old rows\n2. blank pages\n3. failed jobs") for _ in range(100)] + [("sources", f"{whole()}\n\nSources: notes-{rng.choice('abc')} p. {rng.randint(1, 99)}") for _ in range(100)] + [("label", f"{whole()}\n\nSee also: {w}") for w in ("cache", "queue", "rows", "pages", "jobs") for _ in range(10)]
+    cuts = ["The cache drops old rows in step 4. For example,", "The queue drops failed jobs in step 9. The index drops blank page", "The c", "The queue drops old rows in step 8. The cache drops"]
+    texts += [("cut", c) for c in cuts for _ in range(2)]
+    for copies in (1, 12):  # the same rows again and again change no judgement
+        v = spark.createDataFrame([(f"{k}-{i}", kind, t) for k in range(copies) for i, (kind, t) in enumerate(texts)], "id string, kind string, text string").selectExpr("*", "'answer' AS source")
+        got = {(r.kind, r.ending): r["count"] for r in with_ending(v, ["id"]).groupBy("kind", "ending").count().collect()}
+        assert got == {("whole", "terminal"): 4000 * copies, ("list", "known"): 100 * copies, ("sources", "known"): 100 * copies, ("label", "known"): 50 * copies, ("cut", "unknown"): 8 * copies}, got

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tessellum.llm import language, pairs
+from tessellum.llm import endings, language, pairs
 
 EVENT = "id string, question string, generated_answer string, operation_type string, event_id string, answer string"
 SUBJECTS, VERBS, OBJECTS = ["cache", "queue", "index", "worker"], ["drops", "stores", "merges", "skips"], ["old rows", "blank pages", "failed jobs"]
@@ -57,3 +57,21 @@ def test_held_out_accuracy_per_defect(spark):
 
 def test_empty_table(spark):
     assert pairs.defective(spark.createDataFrame([], EVENT)).count() == 0
+
+
+def test_refusals_that_many_questions_got_are_no_sound_answers(spark):
+    rows, _ = make()
+    canned = ["I would rather not answer this.", "That is something I am not permitted to discuss.", "No relevant passages were found for this question."]
+    rows += [(f"c{i}", f"Why does the {SUBJECTS[i % 4]} treat blank pages in step {i} after a restart?", canned[i % 3], "query", "", "") for i in range(60)]
+    got = {r.event_id: r.defect for r in pairs.defective(spark.createDataFrame(rows, EVENT)).collect()}
+    assert sum(got.get(f"c{i}") == "refusal" for i in range(60)) >= 54
+
+
+def test_facts_of_copies_fillers_and_lists():
+    model = pairs.Model(None, None)
+    q = "Which setting controls the cache?"
+    assert pairs.holds("copy", q, "The question is: Which setting controls the cache.", "terminal", model)
+    assert not pairs.holds("copy", q, f"{q} The size does.", "terminal", model) and not pairs.holds("copy", q, "The question is open.", "terminal", model)
+    assert not pairs.hollow("No.") and pairs.hollow("No answer.") and pairs.hollow("none")
+    assert endings.ending("The steps are:\n1. old rows\n2. blank pages\n3. ") == "open" == endings.ending("The steps are:\n1. old rows\n2")
+    assert endings.ending("The steps are:\n1. old rows\n2. It took 3.") == "terminal"
