@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from tessellum.llm import toxic
@@ -93,3 +94,44 @@ def test_held_out_sentences(spark):
     rates = {r.source: r for r in toxic.rates(scored).collect()}
     assert rates["?"].documents == 40 and rates["?"].abusive_rate == 0 and rates["forum"].documents == 14
     assert toxic.score(docs.limit(0), labs.limit(0)).count() == 0
+
+
+def test_wrong_judgements_teach_nothing():
+    rng = np.random.default_rng(1)
+    said = ["She moaned as he licked her naked breasts.", "Horny naked women strip on webcam tonight.", "He pushed his cock into her and she screamed in ecstasy.", "They had wild sex in bed all night.", "Free porn of nude couples having sex."]
+    names = [a + b for a in ("Quar", "Dol", "Zin", "Mev", "Tosk", "Hul", "Bral", "Vep") for b in ("bix", "omar", "eth", "und", "ilo", "ask")]
+    calm, cases = [], []
+    for i in range(260):
+        wrong, right = i < 12, 12 <= i < 72  # the judgements of twelve ordinary documents are wrong
+        text = PLAIN * int(rng.integers(1, 3)) + (said[i % 5] if right else f"{names[i * 7 % 48]} measured {i} beams for the west wing.") + " " + PLAIN
+        wins = [" ".join(w) for w in toxic.windows(toxic.tokens(text))]
+        (cases if wrong or right else calm).extend((i, "sexual" if wrong or right else "none", w) for w in wins)
+    frames = [pd.DataFrame(x, columns=["doc_id", "category", "window"]) for x in (calm, cases)]
+    shown = [" ".join(w) for k in range(toxic.FOLDS) for _, w, _ in toxic.held_out(*frames, k)[0]]
+    assert sum("measured" in w for w in shown) <= 2 and all(any(" ".join(toxic.tokens(s))[:15] in w for w in shown) for s in said)
+    few = frames[1][frames[1]["doc_id"] % 5 == 0]
+    assert toxic.enough(frames[1]) == ["sexual"] and toxic.enough(few) == []
+
+
+def test_a_sentence_that_a_window_cuts_is_no_case():
+    class Hasty(toxic.Scorer):
+        def windows(self, ids):
+            edge = self.vocab.number.get("edge", -1)
+            return np.repeat((ids[:, -1:] == edge).astype(np.float32), 3, axis=1)
+
+    words = [f"w{i}" for i in range(15)] + ["edge"] + [f"x{i}" for i in range(30)]
+    assert Hasty(toxic.Network(1)).texts([" ".join(words)]).max() < min(toxic.THRESHOLDS)
+
+
+def test_several_networks_are_asked_about_doubtful_windows():
+    nets = [toxic.Network(k) for k in (1, 2, 3)]
+    for n in nets:
+        n.p["o"] = np.full(3, 1.0, np.float32)
+    scorer = toxic.Scorer(nets[0], others=nets[1:])
+    ids = toxic.padded([scorer.vocab.of([f"w{i % 7}" for i in range(k, k + 16)]) for k in range(5)] + [scorer.vocab.of(["a", "b"])])
+    each = []
+    for n in nets:
+        one = toxic.Scorer(n)
+        one.vocab = scorer.vocab
+        each.append(one.windows(ids))
+    assert np.allclose(scorer.agreed(ids), np.mean(each, axis=0), atol=1e-5)
